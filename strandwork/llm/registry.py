@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import line_dedup, quality_rules
 
 QUERIES = {
+    "op2_quality_rules": quality_rules.query,
     "op7_line_dedup": line_dedup.query,
 }
 ORACLES = {
+    "op2_quality_rules": quality_rules.ORACLE_SQL,
     "op7_line_dedup": line_dedup.ORACLE_SQL,
 }
