@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality_rules
+from . import line_dedup, mixing, quality_rules
 
 QUERIES = {
+    "op1_mixing": mixing.query,
     "op2_quality_rules": quality_rules.query,
     "op7_line_dedup": line_dedup.query,
 }
