@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, quality_rules
+from . import line_dedup, mixing, quality_rules, substring_dedup
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_quality_rules": quality_rules.query,
     "op7_line_dedup": line_dedup.query,
+    "op10_substring_dedup": substring_dedup.query,
 }
 ORACLES = {
     "op2_quality_rules": quality_rules.ORACLE_SQL,
     "op7_line_dedup": line_dedup.ORACLE_SQL,
+    "op10_substring_dedup": substring_dedup.ORACLE_SQL,
 }
