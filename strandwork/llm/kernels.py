@@ -151,3 +151,10 @@ def sliding(x: np.ndarray, n: int, least: bool = True) -> np.ndarray:
         x = f(x[:-size], x[size:])
         size *= 2
     return f(x[: len(x) - (n - size)], x[n - size :]) if n > size else x
+
+
+def distinct(w: Words) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """(hash, bytes) of each distinct word, and for each word which of them it is."""
+    keys, at, which = np.unique(w.hash, return_index=True, return_inverse=True)
+    data = w.data.tobytes()
+    return keys, [data[a:b] for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)], which
