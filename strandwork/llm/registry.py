@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, mixing, quality_rules, substring_dedup
+from . import bpe, line_dedup, mixing, quality_rules, substring_dedup, token_counts
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_quality_rules": quality_rules.query,
     "op7_line_dedup": line_dedup.query,
     "op8_bpe": bpe.query,
+    "op9_token_counts": token_counts.query,
     "op10_substring_dedup": substring_dedup.query,
 }
 ORACLES = {
