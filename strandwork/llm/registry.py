@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, language_id, line_dedup, mixing, ngram_join, quality_rules, substring_dedup, token_counts
+from . import bpe, chat_format, fingerprints, language_id, line_dedup, mixing, ngram_join, quality_rules, substring_dedup, token_counts
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_quality_rules": quality_rules.query,
     "op3_fingerprints": fingerprints.query,
     "op4_ngram_join": ngram_join.query,
+    "op5_chat_format": chat_format.query,
     "op6_language_id": language_id.query,
     "op7_line_dedup": line_dedup.query,
     "op8_bpe": bpe.query,
