@@ -153,7 +153,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
     rows = labelled.where(F.col(lang).isNotNull())
     n = rows.count()
     if n > sample:
-        rows = rows.where(F.abs(F.xxhash64(F.lit("sample"), doc_id)) < F.lit(int(0.95 * sample / n * (1 << 63))))
+        rows = rows.where(F.call_function("shiftrightunsigned", F.xxhash64(F.lit("sample"), doc_id), F.lit(1)) < F.lit(int(0.95 * sample / n * (1 << 63))))
     some = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
