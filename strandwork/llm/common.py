@@ -6,7 +6,9 @@ Words are maximal runs of code points outside ``[\\x20\\x09-\\x0D]``, as the con
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,13 +34,19 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, free: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: the lineage ends there, so a lost
-    executor costs no more than its own tasks, and what depends on row order is settled once."""
+    executor costs no more than its own tasks, and what depends on row order is settled once. free: after it,
+    let Spark delete the shuffle files that led there; it does so once its driver's memory has been collected,
+    which takes two rounds and would else happen at some later time."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandwork/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written[path] = spark
+    for _ in range(2 * free):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.15)
     return spark.read.schema(df.schema).parquet(path)
 
 

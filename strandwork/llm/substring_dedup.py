@@ -35,8 +35,11 @@ ANCHOR = 5
 _LAST = (1 << 63) - 1
 _MOST = np.uint64((1 << 64) - 1)
 
-#: key: what must meet; doc, tk: the document (tk tells apart rows with equal ids); pos: the word; local: places that were decided in the batch.
-_ROWS = "key long, doc long, tk short, pos int, local binary"
+#: key: what must meet; doc, tk: the document (tk tells apart rows with equal ids); pos: the word; more: other places
+#: of the key in the document; local: places that were decided in the batch.
+_ROWS = "key long, doc long, tk short, pos int, more binary, local binary"
+#: Bytes of text whose occurrences are decided together.
+GATHER = 1 << 24
 
 
 def anchor_places(w: K.Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -52,50 +55,75 @@ def anchor_places(w: K.Words, window: int, anchor: int) -> tuple[np.ndarray, np.
     return x, full, least, np.flatnonzero(most == x)
 
 
-def _rows(key: np.ndarray, doc: np.ndarray, tk: np.ndarray, pos: np.ndarray, places: dict[tuple[int, int], bytes]) -> pa.RecordBatch:
-    n, m = len(key), len(places)
-    spread = K.mix(np.array([d for d, _ in places], np.int64).view(K.U)).view(np.int64) if m else np.zeros(0, np.int64)
-    return pa.record_batch(
-        [
-            pa.array(np.concatenate([key.view(np.int64), spread])),
-            pa.array(np.concatenate([doc, np.array([d for d, _ in places], np.int64)])),
-            pa.array(np.concatenate([tk, np.array([t for _, t in places], np.int16)]).astype(np.int16)),
-            pa.array(np.concatenate([pos, np.full(m, -1)]).astype(np.int32)),
-            pa.array([None] * n + list(places.values()), pa.binary()),
-        ],
-        names=["key", "doc", "tk", "pos", "local"],
-    )
+def as_runs(pos: np.ndarray, ref: np.ndarray) -> np.ndarray:
+    """(start, number, ref) of places that follow each other and have the same ref; pos rises."""
+    edge = np.flatnonzero(np.r_[True, (pos[1:] != pos[:-1] + 1) | (ref[1:] != ref[:-1])])
+    return np.stack([pos[edge], np.diff(np.r_[edge, len(pos)]), ref[edge]], 1).astype(np.int64)
+
+
+def from_runs(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = runs[:, 1]
+    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(runs[:, 0], n) + inner, np.repeat(runs[:, 2], n)
 
 
 def _split(key: np.ndarray, doc: np.ndarray, tk: np.ndarray, pos: np.ndarray, refs: bool) -> pa.RecordBatch:
-    """Rows for the first document of each key; the other places are packed: with refs those that come later,
-    as (place, first document), else all of keys that two documents of the batch share."""
-    order = np.lexsort((doc, key))
+    """One row for each key, of the first document that has it. What is decided here is packed: with refs the
+    places in later documents (runs, ref: the first document), else all places of keys that two documents share."""
+    order = np.lexsort((pos, tk, doc, key))
     key, doc, tk, pos = key[order], doc[order], tk[order], pos[order]
-    new = np.ones(len(key), bool)
+    n = len(key)
+    new = np.ones(n, bool)
     new[1:] = key[1:] != key[:-1]
     at = np.flatnonzero(new)
     group = np.cumsum(new) - 1
-    first = doc[at][group] if len(at) else doc
+    first = doc[at][group] if n else doc
     later = doc > first
-    shared = later if refs or not len(at) else np.logical_or.reduceat(later, at)[group]
-    send = ~later if refs else ~later & ~shared
-    if not refs and len(at):  # of a shared key only its first document's first place: others may hold it in other batches
-        send |= new & shared
+    shared = later if refs or not n else np.logical_or.reduceat(later, at)[group]
+    send = ~later & (refs | ~shared | new)
+    key, sd, st, sp = key[send], doc[send], tk[send], pos[send]
+    head = np.ones(len(key), bool)  # one row for the places of a key in a document
+    head[1:] = (key[1:] != key[:-1]) | (sd[1:] != sd[:-1]) | (st[1:] != st[:-1])
+    heads = np.flatnonzero(head)
+    size = np.diff(np.r_[heads, len(key)])
+    more = np.full(len(heads), None, object)
+    for i in np.flatnonzero(size > 1).tolist():
+        more[i] = sp[heads[i] + 1 : heads[i] + size[i]].astype(np.int32).tobytes()
     packed: dict[tuple[int, int], bytes] = {}
     if shared.any():
         d, t, p, r = doc[shared], tk[shared], pos[shared], first[shared]
         by = np.lexsort((p, t, d))
         d, t, p, r = d[by], t[by], p[by], r[by]
         edge = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (t[1:] != t[:-1])])
-        for a, b in zip(edge, np.r_[edge[1:], len(d)], strict=True):
-            pair = np.stack([p[a:b].astype(np.int64), r[a:b]], 1) if refs else p[a:b].astype(np.int32)
-            packed[int(d[a]), int(t[a])] = pair.tobytes()
-    return _rows(key[send], doc[send], tk[send], pos[send], packed)
+        for a, b in zip(edge.tolist(), np.r_[edge[1:], len(d)].tolist(), strict=True):
+            packed[int(d[a]), int(t[a])] = as_runs(p[a:b], r[a:b]).tobytes() if refs else p[a:b].astype(np.int32).tobytes()
+    m = len(packed)
+    docs, tks = np.array([x for x, _ in packed], np.int64), np.array([x for _, x in packed], np.int16)
+    spread = K.mix(docs.view(K.U)).view(np.int64)
+    return pa.record_batch(
+        [
+            pa.array(np.concatenate([key[heads].view(np.int64), spread])),
+            pa.array(np.concatenate([sd[heads], docs])),
+            pa.array(np.concatenate([st[heads].astype(np.int16), tks])),
+            pa.array(np.concatenate([sp[heads], np.full(m, -1)]).astype(np.int32)),
+            pa.array([*more, *[None] * m], pa.binary()),
+            pa.array([None] * len(heads) + list(packed.values()), pa.binary()),
+        ],
+        names=["key", "doc", "tk", "pos", "more", "local"],
+    )
 
 
-def _gathered(parts: list[tuple[np.ndarray, ...]], refs: bool) -> pa.RecordBatch:
-    return _split(*(np.concatenate(x) for x in zip(*parts, strict=True)), refs)
+def _gathered(parts: Iterator[tuple[int, tuple[np.ndarray, ...]]], refs: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of (bytes, (key, doc, tk, pos)), decided GATHER bytes at a time."""
+    held, size = [], 0
+    for n, part in parts:
+        held.append(part)
+        size += n
+        if size >= GATHER:
+            yield _split(*(np.concatenate(x) for x in zip(*held, strict=True)), refs)
+            held, size = [], 0
+    if held:
+        yield _split(*(np.concatenate(x) for x in zip(*held, strict=True)), refs)
 
 
 def _identity(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -103,40 +131,40 @@ def _identity(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchors(window: int, anchor: int):
+    def places_of(batch: pa.RecordBatch):
+        doc, tk = _identity(batch)
+        for a, _, w in K.batches_of(batch["text"]):
+            x, _, _, places = anchor_places(w, window, anchor)
+            of = w.doc[places]
+            yield len(w.data), (x[places], doc[a + of], tk[a + of], places - w.first[of])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, tk = _identity(batch)
-            parts = []
-            for a, _, w in K.batches_of(batch["text"]):
-                x, _, _, places = anchor_places(w, window, anchor)
-                of = w.doc[places]
-                parts.append((x[places], doc[a + of], tk[a + of], places - w.first[of]))
-            if parts:
-                yield _gathered(parts, False)
+            yield from _gathered(places_of(batch), False)
 
     return run
 
 
 def _windows(window: int, anchor: int):
+    def places_of(batch: pa.RecordBatch):
+        doc, tk = _identity(batch)
+        places, packed = batch["places"].to_pylist(), batch["packed"].to_pylist()
+        for a, b, w in K.batches_of(batch["text"]):
+            x, full, least, _ = anchor_places(w, window, anchor)
+            if not len(full):
+                continue
+            held = np.full(len(x), _MOST)
+            for i in range(a, b):
+                at = np.concatenate([np.array(places[i], np.int64), *(np.frombuffer(y, np.int32).astype(np.int64) for y in packed[i])])
+                at += w.first[i - a]
+                held[at] = x[at]
+            may = np.flatnonzero(full & (K.sliding(held, window - anchor + 1) == least))
+            of = w.doc[may]
+            yield len(w.data), (K.grams(w.hash, window)[may], doc[a + of], tk[a + of], may - w.first[of])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, tk = _identity(batch)
-            parts = []
-            places, local = batch["places"].to_pylist(), batch["locals"].to_pylist()
-            for a, b, w in K.batches_of(batch["text"]):
-                x, full, least, _ = anchor_places(w, window, anchor)
-                held = np.full(len(x), _MOST)
-                for i in range(a, b):
-                    at = np.concatenate([np.array(places[i] or [], np.int64), *(np.frombuffer(y, np.int32).astype(np.int64) for y in local[i] or [])])
-                    at += w.first[i - a]
-                    held[at] = x[at]
-                if not len(full):
-                    continue
-                may = np.flatnonzero(full & (K.sliding(held, window - anchor + 1) == least))
-                of = w.doc[may]
-                parts.append((K.grams(w.hash, window)[may], doc[a + of], tk[a + of], may - w.first[of]))
-            if parts:
-                yield _gathered(parts, True)
+            yield from _gathered(places_of(batch), True)
 
     return run
 
@@ -146,17 +174,19 @@ def _documents(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc, tk, found, locals): of each document with any, its windows that also start in a document before it:
-    found as array of (pos, ref), locals as packed pairs. ref: the earliest document that was seen with it."""
+    """(doc, tk, pos, ref, more, runs): of each document with any, its windows that also start in a document before
+    it: places and, in the same order, refs; other places, packed, with ref; and runs decided in a batch. ref: the
+    earliest document that was seen with the window."""
     rows = _documents(docs, text, doc_id)
     sent = rows.mapInArrow(_anchors(window, anchor), _ROWS)
     met = Window.partitionBy("key")
     sent = sent.withColumn("shared", F.min("doc").over(met) < F.max("doc").over(met)).where("shared OR local IS NOT NULL")
-    by_doc = sent.groupBy("doc", "tk").agg(F.collect_list(F.when(F.col("local").isNull(), F.col("pos"))).alias("places"), F.collect_list("local").alias("locals"))
+    own = F.col("local").isNull()
+    by_doc = C.cut(sent.groupBy("doc", "tk").agg(F.collect_list(F.when(own, F.col("pos"))).alias("places"), F.collect_list(F.coalesce("local", "more")).alias("packed")), free=True)
     todo = rows.join(by_doc, ["doc", "tk"]).mapInArrow(_windows(window, anchor), _ROWS)
     todo = todo.withColumn("ref", F.min("doc").over(met)).where("ref < doc OR local IS NOT NULL")
-    pair = F.when(F.col("local").isNull(), F.struct("pos", "ref"))
-    return todo.groupBy("doc", "tk").agg(F.collect_list(pair).alias("found"), F.collect_list("local").alias("locals"))
+    other = F.when(F.col("more").isNotNull(), F.struct("more", "ref"))
+    return todo.groupBy("doc", "tk").agg(F.collect_list(F.when(own, F.col("pos"))).alias("pos"), F.collect_list(F.when(own, F.col("ref"))).alias("ref"), F.collect_list(other).alias("more"), F.collect_list("local").alias("runs"))
 
 
 def factors(pos: np.ndarray, ref: np.ndarray, window: int) -> list[tuple[int, int, int]]:
@@ -174,11 +204,22 @@ def _as_spans(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for found, local in zip(batch["found"].to_pylist(), batch["locals"].to_pylist(), strict=True):
-                pairs = np.concatenate([np.array([(x["pos"], x["ref"]) for x in found], np.int64).reshape(-1, 2), *(np.frombuffer(x, np.int64).reshape(-1, 2) for x in local)])
-                pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-                pairs = pairs[np.r_[True, pairs[1:, 0] != pairs[:-1, 0]]]
-                out.append([{"start": a, "len": n, "ref": r} for a, n, r in factors(pairs[:, 0], pairs[:, 1], window)])
+            flat_pos, flat_ref = batch["pos"].flatten().to_numpy().astype(np.int64), batch["ref"].flatten().to_numpy()
+            edge = np.r_[0, np.cumsum(batch["pos"].value_lengths())]
+            for i, (more, runs) in enumerate(zip(*(batch[c].to_pylist() for c in ("more", "runs")), strict=True)):
+                pos, ref = [flat_pos[edge[i] : edge[i + 1]]], [flat_ref[edge[i] : edge[i + 1]]]
+                for x in more:
+                    pos.append(np.frombuffer(x["more"], np.int32).astype(np.int64))
+                    ref.append(np.full(len(pos[-1]), x["ref"]))
+                for x in runs:
+                    p, r = from_runs(np.frombuffer(x, np.int64).reshape(-1, 3))
+                    pos.append(p)
+                    ref.append(r)
+                p, r = np.concatenate(pos), np.concatenate(ref)
+                by = np.lexsort((r, p))
+                p, r = p[by], r[by]
+                once = np.r_[True, p[1:] != p[:-1]]
+                out.append([{"start": a, "len": n, "ref": x} for a, n, x in factors(p[once], r[once], window)])
             yield pa.record_batch([batch["doc"], batch["tk"], pa.array(out, kind)], names=["doc", "tk", "spans"])
 
     return run
@@ -240,7 +281,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
-    spans = C.cut(duplicate_spans(docs)).withColumnsRenamed({"doc": "_doc", "tk": "_tk"})
+    spans = C.cut(duplicate_spans(docs), free=True).withColumnsRenamed({"doc": "_doc", "tk": "_tk"})
     rows = _documents(docs, "text", "doc_id")
     both = rows.join(spans, (rows["doc"] == spans["_doc"]) & (rows["tk"] == spans["_tk"]), "left")
     both = both.select(F.when(F.col("doc") != _LAST, F.col("doc")).alias("doc_id"), "text", "spans")
