@@ -20,6 +20,7 @@ import hashlib
 import heapq
 import json
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -34,6 +35,9 @@ from . import kernels as K
 
 #: Distinct words that a worker remembers.
 CACHE = 400_000
+#: Symbols up to which a word is merged by scans.
+SHORT = 48
+_NONE = 1 << 60
 
 
 def byte_symbols() -> list[str]:
@@ -71,8 +75,21 @@ class Tokenizer:
         self.merged = 0  # words that were merged in full
 
     def merge(self, symbols: list[str]) -> list[str]:
-        """Merging by rank, of equal ranks the leftmost first, with a queue: n log n for a word of n symbols."""
+        """Merging by rank, of equal ranks the leftmost first: by a scan of the ranks of a short word's neighbours, by
+        a queue (n log n) for a long one."""
         n = len(symbols)
+        if n <= SHORT:
+            rank, parts = self.ranks.get, list(symbols)
+            ranks = [rank(pair, _NONE) for pair in zip(parts, parts[1:])]
+            while ranks and (least := min(ranks)) < _NONE:
+                i = ranks.index(least)
+                parts[i] += parts.pop(i + 1)
+                del ranks[i]
+                if i:
+                    ranks[i - 1] = rank((parts[i - 1], parts[i]), _NONE)
+                if i < len(ranks):
+                    ranks[i] = rank((parts[i], parts[i + 1]), _NONE)
+            return parts
         part: list[str | None] = list(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         queue = [(r, i, part[i], part[i + 1]) for i in range(n - 1) if (r := self.ranks.get((part[i], part[i + 1]))) is not None]
@@ -158,6 +175,8 @@ class Tokenizer:
 
     def split(self, text: str) -> list[str | int]:
         """Pre-tokens, and the ids of special tokens."""
+        if text.isalpha() and text.isascii():
+            return [text.lower()]
         out: list[str | int] = []
         parts = self.specials.split(text) if self.specials and self.specials.search(text) else [text]
         for part in parts:
@@ -179,11 +198,11 @@ class Tokenizer:
         if new:
             self.learn(new)
         known = self.known
-        return [[i for p in c for i in (known[p] if isinstance(p, str) else (p,))] for c in cut]
+        return [known[c[0]] if len(c) == 1 and isinstance(c[0], str) else [i for p in c for i in (known[p] if isinstance(p, str) else (p,))] for c in cut]
 
     def decode(self, ids: list[int]) -> str:
         """The library's decode() of a file without a decoder: the tokens, joined by spaces."""
-        return " ".join([self.tokens[i] for i in ids])
+        return " ".join(map(self.tokens.__getitem__, ids))
 
 
 @lru_cache(2)
@@ -204,7 +223,7 @@ def encode_texts(path: str, texts: pa.Array) -> Iterator[tuple[bytes, str]]:
             memory.clear()
             new = list(range(len(hashes)))
         for i, ids in zip(new, t.encode_all([raw[i].decode("utf-8", "replace") for i in new]), strict=True):
-            memory[hashes[i]] = (np.array(ids, "<u4").tobytes(), t.decode(ids))
+            memory[hashes[i]] = (array("I", ids).tobytes(), t.decode(ids))
         got = [memory[h] for h in hashes]
         ids_of, text_of = [g[0] for g in got], [g[1] for g in got]
         order, first = which.tolist(), w.first.tolist()
