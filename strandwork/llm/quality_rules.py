@@ -82,9 +82,12 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """measure(), with fail_bits."""
-    bits = [F.when(F.expr(fails), F.lit(BIT[name])).otherwise(0) for name, fails in RULES]
-    return measure(docs, text).withColumn("fail_bits", reduce(lambda a, b: a.bitwiseOR(b), bits))
+    """measure(), with fail_bits. An entry is the one element of an exploded array: that keeps Catalyst from
+    copying all of the measuring into a filter on the bits, where it would run again for each use."""
+    m = measure(docs, text)
+    bits = reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.expr(fails), F.lit(BIT[name])).otherwise(0) for name, fails in RULES])
+    entry = F.struct(*[c for c in m.columns if c != "_row"], bits.alias("fail_bits"))
+    return m.select("_row", F.explode(F.array(entry)).alias("_entry")).select("_row", "_entry.*")
 
 
 def passes(policy: str = POLICY, bits: str = "fail_bits") -> Column:
