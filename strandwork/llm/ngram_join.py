@@ -7,10 +7,11 @@ signatures and shortens the prefix until a pair at the threshold is found in som
 
 No step lists the pairs of a group. Documents with equal shingles are one node. In a group each node is verified
 against the group's first; what is linked is a class from then on. At the last depth, nodes of a group that are
-still in different classes are compared by SKETCH bits (one long word each; a pair at the threshold fails that
-with a probability under 1e-7), and those that pass are verified, too. So every link between different texts
-either is in the result or joins two texts of one class. Jaccard is computed from the texts' shingles (64-bit
-hashes), members of a first text in blocks of BLOCK, so a group of any size is spread over many tasks.
+still in different classes are compared by sketches, first of 64 * WORDS bits, then, for nodes that have a partner
+after that, of 64 * WIDE bits: a pair at the threshold fails either with a probability under 1e-6. Those that pass
+are verified, too. So every link between different texts either is in the result or joins two texts of one class.
+Jaccard is computed from the texts' shingles (64-bit hashes), members of a first text in blocks of BLOCK, so a group
+of any size is spread over many tasks.
 
 Result: a row for each document: class_id, the least doc_id of its class; n_links, the verified links of its
 text to different texts (they span the class); n_copies, the documents with equal shingles.
@@ -22,6 +23,7 @@ others; rows that repeat are copies; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,9 @@ RECALL = 0.99999
 #: Bits of SKETCH words that may differ: 128 minima of two bits; at a Jaccard of 0.8 26 +- 5.9 of 256 differ.
 WORDS = 4
 MAY_DIFFER = 58
+#: One bit from each of 64 * WIDE minima: at a Jaccard of 0.8 a tenth of them differ, 410 +- 19 of 4096.
+WIDE = 64
+MAY_DIFFER_WIDE = 512
 BLOCK = 256
 _LAST = (1 << 63) - 1
 
@@ -125,7 +130,7 @@ def _jaccard(ngram: int, threshold: float):
                         continue
                     assert key == (firsts[i], blocks[i])
                     both = len(np.intersect1d(own, mine, assume_unique=True))
-                    if both >= threshold * (len(own) + len(mine) - both):
+                    if both + 1e-9 >= threshold * (len(own) + len(mine) - both):
                         a_.append(firsts[i])
                         b_.append(nodes[i])
             yield pa.record_batch([pa.array(a_, pa.int64()), pa.array(b_, pa.int64())], names=["a", "b"])
@@ -143,7 +148,37 @@ def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, ngram: int, th
     asked = asked.unionByName(asked.select("first", "block", F.col("first").alias("node"), F.lit(0).alias("role")).distinct())
     texts = asked.join(nodes.select("node", "doc", "tk"), "node").join(rows, ["doc", "tk"]).select("first", "block", "role", "node", "text")
     spread = texts.repartition(F.col("first"), F.col("block")).sortWithinPartitions("first", "block", "role")
-    return C.cut(spread.mapInArrow(_jaccard(ngram, threshold), "a long, b long").distinct())
+    return C.cut(spread.mapInArrow(_jaccard(ngram, threshold), "a long, b long").distinct(), free=True)
+
+
+def _wide(ngram: int):
+    n = 64 * WIDE
+    a = (K.mix(np.arange(1 << 20, (1 << 20) + n, dtype=K.U)) >> K.U(32)).astype(np.uint32) | np.uint32(1)
+    b = K.mix(np.arange(1 << 21, (1 << 21) + n, dtype=K.U)).astype(np.uint32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, to, w in K.batches_of(batch["text"]):
+                g, first = shingles(w, ngram)  # every node has some
+                low = (g >> K.U(32)).astype(np.uint32)
+                bits = np.zeros((to - at, WIDE), K.U)
+                for i in range(n):
+                    least = np.minimum.reduceat(low * a[i] + b[i], first[:-1])
+                    bits[:, i // 64] |= (K.mix(least) & K.U(1)) << K.U(i % 64)
+                yield pa.record_batch([batch["node"].slice(at, to - at), *[pa.array(bits[:, j].view(np.int64)) for j in range(WIDE)]], names=["node", *[f"x{j}" for j in range(WIDE)]])
+
+    return run
+
+
+def wide_sketches(nodes: DataFrame, rows: DataFrame, ngram: int) -> DataFrame:
+    """(node, x0, x1, ...) of these nodes."""
+    texts = nodes.select("node", "doc", "tk").join(rows, ["doc", "tk"]).select("node", "text").dropDuplicates(["node"])
+    return C.cut(texts.mapInArrow(_wide(ngram), "node long, " + ", ".join(f"x{j} long" for j in range(WIDE))), free=True)
+
+
+def _differ(columns: list[str]) -> Column:
+    """How many bits of these columns differ from those of the same names after an underscore."""
+    return reduce(lambda x, y: x + y, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in columns])
 
 
 def _with_classes(nodes: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -180,9 +215,14 @@ def links_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ngram:
     members = classed.select("node", "comp", *words, F.explode("keys").alias("key"))
     open_keys = members.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low < _high").select("key")
     members = C.cut(members.join(open_keys, "key", "left_semi"))
-    other = members.select("key", F.col("node").alias("_node"), F.col("comp").alias("_comp"), *[F.col(c).alias(f"_{c}") for c in words])
-    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in words[1:]), F.bit_count(F.col("w0").bitwiseXOR(F.col("_w0"))))
-    cross = members.join(other, (members["key"] == other["key"]) & (F.col("comp") < F.col("_comp")) & (differ <= MAY_DIFFER))
+    also = lambda columns: members.select(F.col("key").alias("_key"), F.col("node").alias("_node"), F.col("comp").alias("_comp"), *[F.col(c).alias(f"_{c}") for c in columns])
+    near = (F.col("key") == F.col("_key")) & (_differ(words) <= MAY_DIFFER)
+    some = members.join(also(words), near & (F.col("comp") != F.col("_comp")), "left_semi").select("node").distinct()
+    sketches = wide_sketches(nodes.join(some, "node", "left_semi"), rows, ngram)
+    members = C.cut(members.join(sketches, "node"))
+    wide = [f"x{j}" for j in range(WIDE)]
+    nearer = (F.col("key") == F.col("_key")) & (F.col("comp") < F.col("_comp")) & (_differ(words) <= MAY_DIFFER) & (_differ(wide) <= MAY_DIFFER_WIDE)
+    cross = members.join(also(words + wide), nearer)
     more = verified(cross.select(F.col("node").alias("a"), F.col("_node").alias("b")), nodes, rows, ngram, threshold)
     links = C.cut(links.unionByName(more))
     return signed.select("doc", "tk", "node"), C.cut(_with_classes(nodes.drop("keys", *words), links)), links
