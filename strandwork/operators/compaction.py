@@ -13,8 +13,6 @@ from ..tables import cut
 from .graph import neighbor
 from .wiring import wires
 
-NUMBERING = ["terminal", "ext", F.col("visit").desc(), F.col("cnt").desc()]
-
 
 def independent_set(ext: DataFrame, k: int) -> DataFrame:
     """(node): nodes without a neighbor of a greater key. No two are neighbors; the greatest key is always in it."""
@@ -69,7 +67,7 @@ def apply_transfers(ext: DataFrame, chosen: DataFrame, messages: DataFrame) -> D
     grown = F.when(F.col("direction") == "P", F.concat("search_ext", "mn_ext")).otherwise(F.concat("mn_ext", "search_ext"))
     new = messages.select(F.col("search_mn").alias("node"), side.alias("side"), grown.alias("ext"), "terminal", "cnt", "visit")
     every = kept.select("node", "side", "ext", "terminal", "cnt", "visit").unionByName(new)
-    return every.withColumn("ext_id", F.row_number().over(Window.partitionBy("node", "side").orderBy(*NUMBERING)) - 1)
+    return every.withColumn("ext_id", F.row_number().over(Window.partitionBy("node", "side").orderBy("terminal", "ext", F.col("visit").desc(), F.col("cnt").desc())) - 1)
 
 
 def compact(ext: DataFrame, k: int, node_threshold: int, max_rounds: int | None = None) -> tuple[DataFrame, DataFrame, list[tuple[int, int, int]]]:
