@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import kernels as K
 
-#: Distinct words that a worker remembers.
-CACHE = 400_000
+#: Distinct words, and pre-tokens, that a worker remembers for sure (up to twice as many).
+CACHE = 120_000
+#: Bytes of ids and decoded texts that are handed on together.
+FLUSH = 1 << 22
 #: Symbols up to which a word is merged by scans.
 SHORT = 48
 _NONE = 1 << 60
@@ -70,7 +72,7 @@ class Tokenizer:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.known: dict[str, list[int]] = {}
+        self.known = K.Recent(CACHE)
         self.fits: dict[int, bool] = {}
         self.merged = 0  # words that were merged in full
 
@@ -140,8 +142,8 @@ class Tokenizer:
         stem = self.tokens[token].removesuffix(self.end)
         return self.merge([*stem[:-1], stem[-1] + self.end]) == [self.tokens[token]]
 
-    def learn(self, pieces: list[str]) -> None:
-        """Encode pre-tokens that aren't known yet."""
+    def learn(self, pieces: list[str]) -> dict[str, list[int]]:
+        """The ids of distinct pre-tokens that aren't known yet."""
         symbols = self.symbols
         words = ["".join([symbols[b] for b in p.encode()]) for p in pieces]
         proposed = [self.propose(w) for w in words]
@@ -171,7 +173,9 @@ class Tokenizer:
         for i in np.flatnonzero(failed).tolist():
             proposed[i] = self.exact(words[i])
             self.merged += 1
-        self.known.update(zip(pieces, proposed, strict=True))
+        for piece, ids in zip(pieces, proposed, strict=True):
+            self.known.put(piece, ids)
+        return dict(zip(pieces, proposed, strict=True))
 
     def split(self, text: str) -> list[str | int]:
         """Pre-tokens, and the ids of special tokens."""
@@ -190,15 +194,13 @@ class Tokenizer:
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
         cut = [self.split(t) for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
         if len(self.fits) > 4 * CACHE:
             self.fits.clear()
-        new = list({p for c in cut for p in c if isinstance(p, str)} - self.known.keys())
+        ids = {p: self.known.get(p) for p in {p for c in cut for p in c if isinstance(p, str)}}
+        new = [p for p, got in ids.items() if got is None]
         if new:
-            self.learn(new)
-        known = self.known
-        return [known[c[0]] if len(c) == 1 and isinstance(c[0], str) else [i for p in c for i in (known[p] if isinstance(p, str) else (p,))] for c in cut]
+            ids |= self.learn(new)
+        return [ids[c[0]] if len(c) == 1 and isinstance(c[0], str) else [i for p in c for i in (ids[p] if isinstance(p, str) else (p,))] for c in cut]
 
     def decode(self, ids: list[int]) -> str:
         """The library's decode() of a file without a decoder: the tokens, joined by spaces."""
@@ -214,17 +216,15 @@ def encode_texts(path: str, texts: pa.Array) -> Iterator[tuple[bytes, str]]:
     """(ids as little-endian uint32, decoded text) of each text. Words are encoded once per chunk of texts: no
     token reaches over white space."""
     t = load(path)
-    memory: dict[int, tuple[bytes, str]] = {}
+    memory = K.Recent(CACHE)
     for _, _, w in K.batches_of(texts):
         keys, raw, which = K.distinct(w)
         hashes = keys.tolist()
-        new = [i for i, h in enumerate(hashes) if h not in memory]
-        if len(memory) + len(new) > CACHE:
-            memory.clear()
-            new = list(range(len(hashes)))
+        got = [memory.get(h) for h in hashes]
+        new = [i for i, x in enumerate(got) if x is None]
         for i, ids in zip(new, t.encode_all([raw[i].decode("utf-8", "replace") for i in new]), strict=True):
-            memory[hashes[i]] = (array("I", ids).tobytes(), t.decode(ids))
-        got = [memory[h] for h in hashes]
+            got[i] = (array("I", ids).tobytes(), t.decode(ids))
+            memory.put(hashes[i], got[i])
         ids_of, text_of = [g[0] for g in got], [g[1] for g in got]
         order, first = which.tolist(), w.first.tolist()
         for a, b in zip(first, first[1:]):
@@ -235,11 +235,23 @@ def encode_texts(path: str, texts: pa.Array) -> Iterator[tuple[bytes, str]]:
 def _encoder(path: str, column: int, make: Callable[[bytes, str], tuple], names: list[str], types: list[pa.DataType]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            made = list(zip(*[make(*x) for x in encode_texts(path, batch.column(column))], strict=True))
             kept = [c for i, c in enumerate(batch.columns) if i != column]
-            yield pa.record_batch(kept + [pa.array(list(m), k) for m, k in zip(made, types, strict=True)], names=[n for i, n in enumerate(batch.schema.names) if i != column] + names)
+            all_names = [n for i, n in enumerate(batch.schema.names) if i != column] + names
+
+            def rows(at: int, made: list[tuple], kept=kept, all_names=all_names) -> pa.RecordBatch:
+                new = [pa.array(list(m), k) for m, k in zip(zip(*made, strict=True), types, strict=True)]
+                return pa.record_batch([c.slice(at, len(made)) for c in kept] + new, names=all_names)
+
+            at, size, made = 0, 0, []
+            for ids, decoded in encode_texts(path, batch.column(column)):
+                made.append(make(ids, decoded))
+                size += len(ids) + len(decoded)
+                if size >= FLUSH:
+                    yield rows(at, made)
+                    at, size, made = at + len(made), 0, []
+            if made:
+                yield rows(at, made)
+        K.trim()
 
     return run
 

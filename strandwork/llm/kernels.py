@@ -7,6 +7,7 @@ process: nothing depends on a seed that isn't here.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,12 +16,39 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text that are handled at once; a longer document is handled alone.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 _P = U(0x9E3779B97F4A7C15)
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 9, 10, 11, 12, 13]] = True
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a worker may stay idle beside others for a long time."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+class Recent:
+    """A table of at least the last ``size`` keys that were asked for, and at most twice as many."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def get(self, key):
+        got = self.new.get(key)
+        if got is None and (got := self.old.get(key)) is not None:
+            self.put(key, got)
+        return got
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.size:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64: a bijection in which every bit depends on all."""
     x = x.astype(U, copy=True)

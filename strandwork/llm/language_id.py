@@ -227,6 +227,7 @@ def _predict(model: Model, penalty: float, spans: bool):
                         found.append([{"start": int(x), "len": int(y - x), "lang": model.languages[p[x]]} for x, y in zip(edge, np.r_[edge[1:], len(p)])])
             columns = [batch["_row"], pa.array(langs, pa.string()), pa.array(scores, pa.float64())] + ([pa.array(found, kind)] if spans else [])
             yield pa.record_batch(columns, names=["_row", "lang_pred", "score"] + ["spans"] * spans)
+        K.trim()
 
     return run
 

@@ -107,6 +107,7 @@ def _signatures(ngram: int, trees: int, depth: int, used: list[int]):
                     [batch["doc"].take(pa.array(at + has)), batch["tk"].take(pa.array(at + has)), pa.array(node.view(np.int64)), keys_list, *map(pa.array, words)],
                     names=["doc", "tk", "node", "keys", *[f"w{j}" for j in range(WORDS)]],
                 )
+        K.trim()
 
     return run
 
@@ -134,6 +135,7 @@ def _jaccard(ngram: int, threshold: float):
                         a_.append(firsts[i])
                         b_.append(nodes[i])
             yield pa.record_batch([pa.array(a_, pa.int64()), pa.array(b_, pa.int64())], names=["a", "b"])
+        K.trim()
 
     return run
 
@@ -166,6 +168,7 @@ def _wide(ngram: int):
                     least = np.minimum.reduceat(low * a[i] + b[i], first[:-1])
                     bits[:, i // 64] |= (K.mix(least) & K.U(1)) << K.U(i % 64)
                 yield pa.record_batch([batch["node"].slice(at, to - at), *[pa.array(bits[:, j].view(np.int64)) for j in range(WIDE)]], names=["node", *[f"x{j}" for j in range(WIDE)]])
+        K.trim()
 
     return run
 

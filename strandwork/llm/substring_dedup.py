@@ -141,6 +141,7 @@ def _anchors(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from _gathered(places_of(batch), False)
+        K.trim()
 
     return run
 
@@ -165,6 +166,7 @@ def _windows(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from _gathered(places_of(batch), True)
+        K.trim()
 
     return run
 

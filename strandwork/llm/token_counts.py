@@ -35,7 +35,7 @@ START = "▁"
 SHIFT = 100.0
 #: A byte of a code point that is no piece.
 BYTE_SCORE = -40.0
-CACHE = 400_000
+CACHE = 100_000
 
 
 def default_path() -> str:
@@ -112,24 +112,24 @@ def load(path: str) -> Counter:
 def _counts(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = load(path)
-        memory: dict[int, int] = {}
+        memory = K.Recent(CACHE)
         for batch in batches:
             totals, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for _, _, w in K.batches_of(batch.column(1)):
                 keys, raw, which = K.distinct(w)
                 hashes = keys.tolist()
-                new = [i for i, h in enumerate(hashes) if h not in memory]
-                if len(memory) + len(new) > CACHE:
-                    memory.clear()
-                    new = list(range(len(hashes)))
+                got = [memory.get(h) for h in hashes]
+                new = [i for i, x in enumerate(got) if x is None]
                 for i, n in zip(new, counter.count([START + raw[i].decode("utf-8", "replace") for i in new]), strict=True):
-                    memory[hashes[i]] = n
-                each = np.array([memory[h] for h in hashes], np.int64)
+                    got[i] = n
+                    memory.put(hashes[i], n)
+                each = np.array(got, np.int64)
                 sums = np.zeros(len(which) + 1, np.int64)
                 np.cumsum(each[which], out=sums[1:])
                 totals.append(np.diff(sums[w.first]))
                 numbers.append(np.diff(w.first))
             yield pa.record_batch([batch.column(0), pa.array(np.concatenate(numbers)), pa.array(np.concatenate(totals))], names=["doc_id", "n_words", "n_tokens"])
+        K.trim()
 
     return run
 
