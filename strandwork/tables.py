@@ -18,5 +18,7 @@ def cut(df: DataFrame) -> DataFrame:
         where = tempfile.mkdtemp(prefix="strandwork-")
         spark.conf.set("spark.checkpoint.dir", where)
     path = f"{where}/strandwork/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # Rounds on a shrinking graph would else make many files that hold next to nothing.
+    files = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+    df.coalesce(files).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
