@@ -141,11 +141,10 @@ def _jaccard(ngram: int, threshold: float):
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, ngram: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose Jaccard is at least the threshold. Partners of an a are dealt in blocks,
-    each with a's text before them."""
-    pairs = C.cut(pairs.distinct())
-    n = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n"))
-    dealt = pairs.join(n, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.ceil(F.col("_n") / BLOCK)).cast("int"))
+    """The pairs (a, b, n) of nodes whose Jaccard is at least the threshold. n: the size of the group that a pair
+    comes from; by it, partners of an a are dealt in blocks, each with a's text before them."""
+    pairs = C.cut(pairs.groupBy("a", "b").agg(F.max("n").alias("n")))
+    dealt = pairs.withColumn("block", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / BLOCK)).cast("int"))
     asked = dealt.select(F.col("a").alias("first"), "block", F.col("b").alias("node"), F.lit(1).alias("role"))
     asked = asked.unionByName(asked.select("first", "block", F.col("first").alias("node"), F.lit(0).alias("role")).distinct())
     texts = asked.join(nodes.select("node", "doc", "tk"), "node").join(rows, ["doc", "tk"]).select("first", "block", "role", "node", "text")
@@ -191,9 +190,9 @@ def _with_classes(nodes: DataFrame, links: DataFrame | None) -> DataFrame:
 
 
 def _open_groups(members: DataFrame) -> DataFrame:
-    """The groups that hold two classes, and their first node."""
+    """The groups that hold two classes, their size and their first node."""
     first = F.min(F.struct("doc", "node", "comp")).alias("first")
-    return members.groupBy("key").agg(first, F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low < _high").select("key", "first")
+    return members.groupBy("key").agg(first, F.count(F.lit(1)).alias("n"), F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low < _high").select("key", "n", "first")
 
 
 def links_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ngram: int = NGRAM, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -211,13 +210,12 @@ def links_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ngram:
         classed = C.cut(_with_classes(nodes, links).drop("keys").join(nodes.select("node", _keys(k, per_tree).alias("keys")), "node"))
         members = classed.select("node", "doc", "comp", *words, F.explode("keys").alias("key"))
         groups = _open_groups(members)
-        pairs = members.join(groups, "key").where(F.col("comp") != F.col("first.comp")).select(F.col("first.node").alias("a"), F.col("node").alias("b"))
+        pairs = members.join(groups, "key").where(F.col("comp") != F.col("first.comp")).select(F.col("first.node").alias("a"), F.col("node").alias("b"), "n")
         found = verified(pairs, nodes, rows, ngram, threshold)
         links = found if links is None else C.cut(links.unionByName(found))
     classed = C.cut(_with_classes(nodes, links).drop("keys").join(nodes.select("node", _keys(used[-1], per_tree).alias("keys")), "node"))
     members = classed.select("node", "comp", *words, F.explode("keys").alias("key"))
-    open_keys = members.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low < _high").select("key")
-    members = C.cut(members.join(open_keys, "key", "left_semi"))
+    members = C.cut(members.join(_open_groups(members.withColumn("doc", F.lit(0))).drop("first"), "key"))
     also = lambda columns: members.select(F.col("key").alias("_key"), F.col("node").alias("_node"), F.col("comp").alias("_comp"), *[F.col(c).alias(f"_{c}") for c in columns])
     near = (F.col("key") == F.col("_key")) & (_differ(words) <= MAY_DIFFER)
     some = members.join(also(words), near & (F.col("comp") != F.col("_comp")), "left_semi").select("node").distinct()
@@ -226,7 +224,7 @@ def links_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ngram:
     wide = [f"x{j}" for j in range(WIDE)]
     nearer = (F.col("key") == F.col("_key")) & (F.col("comp") < F.col("_comp")) & (_differ(words) <= MAY_DIFFER) & (_differ(wide) <= MAY_DIFFER_WIDE)
     cross = members.join(also(words + wide), nearer)
-    more = verified(cross.select(F.col("node").alias("a"), F.col("_node").alias("b")), nodes, rows, ngram, threshold)
+    more = verified(cross.select(F.col("node").alias("a"), F.col("_node").alias("b"), "n"), nodes, rows, ngram, threshold)
     links = C.cut(links.unionByName(more))
     return signed.select("doc", "tk", "node"), C.cut(_with_classes(nodes.drop("keys", *words), links)), links
 
