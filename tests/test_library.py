@@ -12,6 +12,7 @@ from strandwork.config import AssemblyConfig
 from strandwork.functions import encoding as E
 from strandwork.operators import graph, kmers, sorting, walk, wiring
 from strandwork.plans import assembly, oracle, queries
+from strandwork.sources import logs
 from strandwork.sources import reads as R
 from strandwork.streaming.counting import count_stream
 
@@ -175,6 +176,16 @@ def test_fasta(spark, tmp_path):
     assert sorted(r.record for r in R.records(spark, str(tmp_path / "b.txt"), "||").collect()) == ["x", "yy", "z"]
 
 
+def test_logs(spark, tmp_path):
+    (tmp_path / "a.out").write_text(
+        "K-mer size: 32, L-mer size: 8, Number of Processes: 4, Coverage: 100\nTotal number of reads: 1000\n"
+        "Average time for performing k-mer counting across all procs (secs): 66.5 \nTotal distinct k-mer entries across all proc's: 77\n"
+        "Itr: 1, Total number of macro_nodes across all proc's: 90 [min=1]\nItr: 2, Total number of macro_nodes across all proc's: 60 [min=1]\n[elapsed-time-no-io]: 8.25\n"
+    )
+    row = logs.runs(spark, str(tmp_path)).first()
+    assert row.asDict() == {"file": "a.out", "n_reads": 1000, "n_processes": 4, "n_distinct": 77, "counting_s": 66.5, "elapsed_s": 8.25, "first_nodes": 90, "last_nodes": 60, "n_rounds": 2}
+
+
 def test_contig_file(spark, tmp_path):
     c = spark.createDataFrame([("0123" * 3, 12, "walk"), ("0" * 5, 5, "walk")], "contig string, len int, source string")
     R.write_contigs(c, str(tmp_path / "out"), min_len=5)
