@@ -25,9 +25,28 @@ def windows(reads: DataFrame, k: int, on_invalid: str = "split", name: str = "km
     return out.drop("_mixed")
 
 
+def _packed(reads: DataFrame, k: int, on_invalid: str) -> DataFrame:
+    """(packed): windows() for an even k, two bases to a byte, in the same order. A read is packed twice, from its
+    first and from its second base; a window is then a slice of bytes of one of the two."""
+    seq = {"split": F.col("seq"), "error": E.strict("seq"), "as_A": E.lenient("seq")}[on_invalid]
+    digits = reads.select("read_id", E.encode(seq).alias("_seq")).where(F.length("_seq") >= k)
+    digits = digits.withColumn("_mixed", F.col("_seq").rlike("[^0-3]"))
+    even = lambda start: F.unhex(F.substring("_seq", F.lit(start), F.call_function("div", F.length("_seq") - (start - 1), F.lit(2)).cast("int") * 2))
+    clean = digits.where("NOT _mixed").select(even(1).alias("_even"), even(2).alias("_odd"), F.length("_seq").alias("_n"))
+    placed = clean.select("_even", "_odd", F.explode(F.sequence(F.lit(0), F.col("_n") - k)).alias("_pos"))
+    half = F.call_function("shiftright", "_pos", F.lit(1)) + 1
+    out = placed.select(F.substring(F.when(F.col("_pos").bitwiseAND(1) == 0, F.col("_even")).otherwise(F.col("_odd")), half, F.lit(k // 2)).alias("packed"))
+    if on_invalid != "split":
+        return out
+    rest = digits.where("_mixed").select("read_id", E.decode("_seq").alias("seq"))
+    return out.unionByName(windows(rest, k).select(F.unhex("kmer").alias("packed")))
+
+
 def counts(reads: DataFrame, k: int, on_invalid: str = "split", name: str = "kmer") -> DataFrame:
-    """(kmer, cnt): exact counts."""
-    return windows(reads, k, on_invalid, name).groupBy(name).agg(F.count(F.lit(1)).alias("cnt"))
+    """(kmer, cnt): exact counts. For an even k, keys are packed while they are shuffled and aggregated."""
+    if k % 2:
+        return windows(reads, k, on_invalid, name).groupBy(name).agg(F.count(F.lit(1)).alias("cnt"))
+    return _packed(reads, k, on_invalid).groupBy("packed").agg(F.count(F.lit(1)).alias("cnt")).select(F.hex("packed").alias(name), "cnt")
 
 
 def totals(kmer_counts: DataFrame) -> DataFrame:
