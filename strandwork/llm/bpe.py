@@ -34,12 +34,13 @@ from . import common as C
 from . import kernels as K
 
 #: Distinct words, and pre-tokens, that a worker remembers for sure (up to twice as many).
-CACHE = 120_000
+CACHE = 200_000
 #: Bytes of ids and decoded texts that are handed on together.
 FLUSH = 1 << 22
 #: Symbols up to which a word is merged by scans.
 SHORT = 48
 _NONE = 1 << 60
+_ID = (1 << 20) - 1
 
 
 def byte_symbols() -> list[str]:
@@ -63,12 +64,19 @@ class Tokenizer:
         self.ids: dict[str, int] = model["vocab"]
         self.tokens = {i: t for t, i in self.ids.items()}
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.ranks = {(a, b): r for r, (a, b) in enumerate(merges)}
+        ids = self.ids
+        self.ranks = {ids[a] << 20 | ids[b]: r << 20 | ids[a + b] for r, (a, b) in enumerate(merges)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens |= {i: t for t, i in self.special.items()}
         self.n = max(self.tokens) + 1
-        self.longest = max(map(len, self.ids))
+        #: The longest token inside a word that begins with these two symbols (or this one).
+        self.reach: dict[str, int] = {}
+        for t in self.ids:
+            if not (self.end and t.endswith(self.end)):
+                self.reach[t[:2]] = max(len(t), self.reach.get(t[:2], 0))
         self.symbols = byte_symbols()
+        self.inner = [ids[c] for c in self.symbols]
+        self.last = [ids[c + self.end] for c in self.symbols]
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -76,76 +84,87 @@ class Tokenizer:
         self.fits: dict[int, bool] = {}
         self.merged = 0  # words that were merged in full
 
-    def merge(self, symbols: list[str]) -> list[str]:
+    def merge(self, parts: list[int]) -> list[int]:
         """Merging by rank, of equal ranks the leftmost first: by a scan of the ranks of a short word's neighbours, by
-        a queue (n log n) for a long one."""
-        n = len(symbols)
-        if n <= SHORT:
-            rank, parts = self.ranks.get, list(symbols)
-            ranks = [rank(pair, _NONE) for pair in zip(parts, parts[1:])]
-            while ranks and (least := min(ranks)) < _NONE:
-                i = ranks.index(least)
-                parts[i] += parts.pop(i + 1)
-                del ranks[i]
-                if i:
-                    ranks[i - 1] = rank((parts[i - 1], parts[i]), _NONE)
-                if i < len(ranks):
-                    ranks[i] = rank((parts[i], parts[i + 1]), _NONE)
-            return parts
-        part: list[str | None] = list(symbols)
+        a queue (n log n) for a long one. parts are ids; the merge of two is found under first << 20 | second, as
+        rank << 20 | id of both."""
+        find, n = self.ranks.get, len(parts)
+        if n > SHORT:
+            return self._merge_long(parts)
+        ranks = [find(a << 20 | b, _NONE) for a, b in zip(parts, parts[1:])]
+        while ranks and (least := min(ranks)) < _NONE:
+            i = ranks.index(least)
+            parts[i] = least & _ID
+            del parts[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = find(parts[i - 1] << 20 | parts[i], _NONE)
+            if i < len(ranks):
+                ranks[i] = find(parts[i] << 20 | parts[i + 1], _NONE)
+        return parts
+
+    def _merge_long(self, parts: list[int]) -> list[int]:
+        n, find = len(parts), self.ranks.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [(r, i, part[i], part[i + 1]) for i in range(n - 1) if (r := self.ranks.get((part[i], part[i + 1]))) is not None]
+        queue = [(found >> 20, i, pair) for i in range(n - 1) if (found := find(pair := parts[i] << 20 | parts[i + 1])) is not None]
         heapq.heapify(queue)
         while queue:
-            _, i, a, b = heapq.heappop(queue)
-            j = after[i] if part[i] is not None else n
-            if j >= n or part[i] != a or part[j] != b:
+            _, i, pair = heapq.heappop(queue)
+            j = after[i]
+            if parts[i] < 0 or j >= n or parts[i] << 20 | parts[j] != pair:
                 continue
-            part[i], part[j] = a + b, None
+            parts[i], parts[j] = find(pair) & _ID, -1
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (r := self.ranks.get((part[x], part[y]))) is not None:
-                    heapq.heappush(queue, (r, x, part[x], part[y]))
-        return [p for p in part if p is not None]
+                if x >= 0 and y < n and (found := find(pair := parts[x] << 20 | parts[y])) is not None:
+                    heapq.heappush(queue, (found >> 20, x, pair))
+        return [p for p in parts if p >= 0]
 
-    def exact(self, word: str) -> list[int]:
-        return [self.ids[t] for t in self.merge([*word[:-1], word[-1] + self.end])]
+    def exact(self, raw: bytes) -> list[int]:
+        """The ids of a pre-token, by merging."""
+        parts = list(map(self.inner.__getitem__, raw))
+        parts[-1] = self.last[raw[-1]]
+        return self.merge(parts)
 
     def propose(self, word: str) -> list[int]:
         """Longest match from the left; word is of byte symbols, without the suffix."""
-        out, at, n, ids, whole = [], 0, len(word), self.ids, word + self.end
+        out, at, n, ids, reach, whole = [], 0, len(word), self.ids, self.reach, word + self.end
         while at < n:
             if (got := ids.get(whole[at:])) is not None:
                 out.append(got)
                 break
-            for to in range(min(n - 1, at + self.longest), at, -1):
+            for to in range(min(n - 1, at + reach.get(word[at : at + 2], 1)), at, -1):
                 if (got := ids.get(word[at:to])) is not None:
                     out.append(got)
                     at = to
                     break
-            else:  # the last symbol, which has the suffix
-                return self.exact(word)
+            else:  # no symbol of its own: can't be where every byte has one
+                raise ValueError(f"no token for {word[at:]!r}")
         return out
 
+    def _symbols(self, token: int, ends: bool) -> list[int]:
+        """The ids of a token's symbols."""
+        text = self.tokens[token]
+        stem = text.removesuffix(self.end) if ends else text
+        parts = [self.ids[c] for c in stem]
+        if stem != text:
+            parts[-1] = self.ids[stem[-1] + self.end]
+        return parts
+
     def _fits(self, code: int) -> bool:
+        """Is merging the symbols of two neighbours the same two tokens?"""
         a, b = divmod(code, self.n)
-        left, right = self.tokens[a], self.tokens[b]
-        stem = right.removesuffix(self.end) if self.end and right.endswith(self.end) else right
-        symbols = [*left, *stem]
-        if stem != right:
-            symbols[-1] += self.end
-        return self.merge(symbols) == [left, right]
+        return self.merge(self._symbols(a, False) + self._symbols(b, True)) == [a, b]
 
     def _alone(self, token: int) -> bool:
-        stem = self.tokens[token].removesuffix(self.end)
-        return self.merge([*stem[:-1], stem[-1] + self.end]) == [self.tokens[token]]
+        return self.merge(self._symbols(token, True)) == [token]
 
     def learn(self, pieces: list[str]) -> dict[str, list[int]]:
         """The ids of distinct pre-tokens that aren't known yet."""
         symbols = self.symbols
-        words = ["".join([symbols[b] for b in p.encode()]) for p in pieces]
+        # Printable ASCII stands for itself.
+        words = [p if p.isascii() and p.isprintable() else "".join([symbols[b] for b in p.encode()]) for p in pieces]
         proposed = [self.propose(w) for w in words]
         size = np.array([len(p) for p in proposed])
         flat = np.array([t for p in proposed for t in p], np.int64)
@@ -171,11 +190,11 @@ class Tokenizer:
                 self.fits[code_alone] = self._alone(proposed[i][0])
             failed[i] = not self.fits[code_alone]
         for i in np.flatnonzero(failed).tolist():
-            proposed[i] = self.exact(words[i])
+            proposed[i] = self.exact(pieces[i].encode())
             self.merged += 1
-        for piece, ids in zip(pieces, proposed, strict=True):
-            self.known.put(piece, ids)
-        return dict(zip(pieces, proposed, strict=True))
+        found = dict(zip(pieces, proposed, strict=True))
+        self.known.put_all(found)
+        return found
 
     def split(self, text: str) -> list[str | int]:
         """Pre-tokens, and the ids of special tokens."""
@@ -196,7 +215,8 @@ class Tokenizer:
         cut = [self.split(t) for t in texts]
         if len(self.fits) > 4 * CACHE:
             self.fits.clear()
-        ids = {p: self.known.get(p) for p in {p for c in cut for p in c if isinstance(p, str)}}
+        pieces = list({p for c in cut for p in c if isinstance(p, str)})
+        ids = dict(zip(pieces, self.known.get_all(pieces), strict=True))
         new = [p for p, got in ids.items() if got is None]
         if new:
             ids |= self.learn(new)
@@ -212,27 +232,30 @@ def load(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
-def encode_texts(path: str, texts: pa.Array) -> Iterator[tuple[bytes, str]]:
+def encode_texts(path: str, texts: pa.Array, cache: int = CACHE) -> Iterator[tuple[bytes, str]]:
     """(ids as little-endian uint32, decoded text) of each text. Words are encoded once per chunk of texts: no
     token reaches over white space."""
     t = load(path)
-    memory = K.Recent(CACHE)
+    t.known.size = cache
+    memory = K.Recent(cache)
     for _, _, w in K.batches_of(texts):
         keys, raw, which = K.distinct(w)
         hashes = keys.tolist()
-        got = [memory.get(h) for h in hashes]
+        got = memory.get_all(hashes)
         new = [i for i, x in enumerate(got) if x is None]
         for i, ids in zip(new, t.encode_all([raw[i].decode("utf-8", "replace") for i in new]), strict=True):
             got[i] = (array("I", ids).tobytes(), t.decode(ids))
-            memory.put(hashes[i], got[i])
+        memory.put_all({hashes[i]: got[i] for i in new})
         ids_of, text_of = [g[0] for g in got], [g[1] for g in got]
         order, first = which.tolist(), w.first.tolist()
+        bare = not all(text_of)  # words without a token: they leave no space
         for a, b in zip(first, first[1:]):
             words = order[a:b]
-            yield b"".join([ids_of[i] for i in words]), " ".join([x for i in words if (x := text_of[i])])
+            texts_of = [text_of[i] for i in words]
+            yield b"".join([ids_of[i] for i in words]), " ".join(filter(None, texts_of) if bare else texts_of)
 
 
-def _encoder(path: str, column: int, make: Callable[[bytes, str], tuple], names: list[str], types: list[pa.DataType]):
+def _encoder(path: str, column: int, make: Callable[[bytes, str], tuple], names: list[str], types: list[pa.DataType], cache: int = CACHE):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = [c for i, c in enumerate(batch.columns) if i != column]
@@ -243,7 +266,7 @@ def _encoder(path: str, column: int, make: Callable[[bytes, str], tuple], names:
                 return pa.record_batch([c.slice(at, len(made)) for c in kept] + new, names=all_names)
 
             at, size, made = 0, 0, []
-            for ids, decoded in encode_texts(path, batch.column(column)):
+            for ids, decoded in encode_texts(path, batch.column(column), cache):
                 made.append(make(ids, decoded))
                 size += len(ids) + len(decoded)
                 if size >= FLUSH:
@@ -256,12 +279,13 @@ def _encoder(path: str, column: int, make: Callable[[bytes, str], tuple], names:
     return run
 
 
-def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None) -> DataFrame:
-    """(doc_id, ids array<int>, decoded string)."""
+def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None, cache: int = CACHE) -> DataFrame:
+    """(doc_id, ids array<int>, decoded string). cache: distinct words that a worker remembers; fewer cost time, not
+    results, and leave more memory to others."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
     make = lambda ids, decoded: (np.frombuffer(ids, "<i4"), decoded)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_encoder(path or default_path(), 1, make, ["ids", "decoded"], [pa.list_(pa.int32()), pa.string()]), f"doc_id {kind}, ids array<int>, decoded string")
+    return rows.mapInArrow(_encoder(path or default_path(), 1, make, ["ids", "decoded"], [pa.list_(pa.int32()), pa.string()], cache), f"doc_id {kind}, ids array<int>, decoded string")
 
 
 def _digest(ids: bytes, decoded: str) -> tuple[int, str, str]:

@@ -32,21 +32,25 @@ def trim() -> None:
 
 
 class Recent:
-    """A table of at least the last ``size`` keys that were asked for, and at most twice as many."""
+    """A table of the last keys that were asked for: ``size`` of them at least, and not much more than twice that."""
 
     def __init__(self, size: int):
         self.size, self.new, self.old = size, {}, {}
 
-    def get(self, key):
-        got = self.new.get(key)
-        if got is None and (got := self.old.get(key)) is not None:
-            self.put(key, got)
-        return got
-
-    def put(self, key, value) -> None:
+    def get_all(self, keys: list) -> list:
+        """What is known of each key, or None."""
+        out, old = list(map(self.new.get, keys)), self.old.get
+        again = {}
+        for i, got in enumerate(out):
+            if got is None and (got := old(keys[i])) is not None:
+                out[i] = again[keys[i]] = got
+        self.put_all(again)
+        return out
+
+    def put_all(self, found: dict) -> None:
         if len(self.new) >= self.size:
             self.old, self.new = self.new, {}
-        self.new[key] = value
+        self.new.update(found)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -107,11 +111,11 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs - offs[0]
 
 
-def chunks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of documents of about CHUNK bytes."""
+def chunks(data: np.ndarray, offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Ranges of documents of about ``size`` bytes."""
     at, n = 0, len(offsets) - 1
     while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         yield at, to
         at = to
 
@@ -135,10 +139,10 @@ def words(data: np.ndarray, offsets: np.ndarray, hashed: bool = True) -> Words:
     return Words(data, offsets, starts, ends, doc, first, h)
 
 
-def batches_of(texts: pa.Array) -> Iterator[tuple[int, int, Words]]:
+def batches_of(texts: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, Words]]:
     """(from, to, Words) for ranges of the documents."""
     data, offsets = buffers(texts)
-    for at, to in chunks(data, offsets):
+    for at, to in chunks(data, offsets, size):
         yield at, to, words(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
 
 

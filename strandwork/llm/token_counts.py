@@ -118,11 +118,11 @@ def _counts(path: str):
             for _, _, w in K.batches_of(batch.column(1)):
                 keys, raw, which = K.distinct(w)
                 hashes = keys.tolist()
-                got = [memory.get(h) for h in hashes]
+                got = memory.get_all(hashes)
                 new = [i for i, x in enumerate(got) if x is None]
                 for i, n in zip(new, counter.count([START + raw[i].decode("utf-8", "replace") for i in new]), strict=True):
                     got[i] = n
-                    memory.put(hashes[i], n)
+                memory.put_all({hashes[i]: got[i] for i in new})
                 each = np.array(got, np.int64)
                 sums = np.zeros(len(which) + 1, np.int64)
                 np.cumsum(each[which], out=sums[1:])
