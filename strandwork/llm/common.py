@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\f\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+#: Files of a table, for each core.
+FILES = 2
+
 _written: dict[str, SparkSession] = {}
 
 
@@ -34,6 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """df in at most an eighth as many partitions as a shuffle has, or FILES for each core of the cluster if that is
+    more: what is written from many small ones costs more to create, and later to open, than to read."""
+    spark = df.sparkSession
+    return df.coalesce(max(FILES * spark.sparkContext.defaultParallelism, partitions(spark) // 8))
+
+
 def cut(df: DataFrame, free: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: the lineage ends there, so a lost
     executor costs no more than its own tasks, and what depends on row order is settled once. free: after it,
@@ -41,7 +51,7 @@ def cut(df: DataFrame, free: bool = False) -> DataFrame:
     which takes two rounds and would else happen at some later time."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandwork/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    few_files(df).write.option("compression", "zstd").parquet(path)
     _written[path] = spark
     for _ in range(2 * free):
         gc.collect()
