@@ -15,9 +15,14 @@ from strandwork.llm import bpe, common, line_dedup, mixing, ngram_join, quality_
 ORACLE_SQL = None
 
 
+#: Distinct words that a worker of the last stage remembers: it shares an executor with what earlier stages left.
+CACHE = 30_000
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the policy."""
-    return quality_rules.ledger(docs).where(quality_rules.passes()).select(*common.unpacked("_row", docs.columns))
+    passed = quality_rules.ledger(docs).where(quality_rules.passes())
+    return common.few_files(passed.select(*common.unpacked("_row", docs.columns)))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,22 +32,23 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text = F.when(F.col("n_dropped") == 0, row["text"]).otherwise(line_dedup.kept_text(row["text"], F.col("keep")))
     found = found.select(row, text.alias("_text"))
     new = {"text": F.col("_text"), "n_chars": F.char_length("_text").cast("long")}
-    return found.select(*[new.get(c, row[c]).alias(c) for c in docs.columns])
+    return common.few_files(found.select(*[new.get(c, row[c]).alias(c) for c in docs.columns]))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class."""
-    return ngram_join.one_of_each(docs)
+    return common.few_files(ngram_join.one_of_each(docs))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    return mixing.mixed(docs)
+    return common.few_files(mixing.mixed(docs))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded)."""
-    return bpe.encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
+    found = bpe.encode(docs, cache=CACHE)
+    return common.few_files(found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded"))
 
 
 STAGES = [
