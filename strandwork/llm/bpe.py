@@ -36,7 +36,7 @@ from . import kernels as K
 #: Distinct words, and pre-tokens, that a worker remembers for sure (up to twice as many).
 CACHE = 200_000
 #: Bytes of ids and decoded texts that are handed on together.
-FLUSH = 1 << 22
+FLUSH = 1 << 21
 #: Symbols up to which a word is merged by scans.
 SHORT = 48
 _NONE = 1 << 60
@@ -274,6 +274,8 @@ def _encoder(path: str, column: int, make: Callable[[bytes, str], tuple], names:
                     at, size, made = at + len(made), 0, []
             if made:
                 yield rows(at, made)
+        if cache < CACHE:  # memory is short: keep nothing between partitions
+            load.cache_clear()
         K.trim()
 
     return run
