@@ -82,6 +82,8 @@ def test_invalid_characters(spark):
     reads = frame(spark, ["ACGNACGT", "acg"])
     count = lambda how: sorted(kmers.counts(reads, 3, how).select(E.decode("kmer")).toPandas().iloc[:, 0])
     assert count("split") == ["ACG", "CGT"]
+    assert {E_decode(r.kmer): r.cnt for r in kmers.counts(reads, 2).collect()} == {"AC": 3, "CG": 3, "GT": 1}
+    assert {E_decode(r.kmer): r.cnt for r in kmers.counts(reads, 4).collect()} == {"ACGT": 1}
     assert "CGA" in count("as_A")
     with pytest.raises(Exception, match="not a base sequence"):
         count("error")
