@@ -13,8 +13,12 @@ are verified, too. So every link between different texts either is in the result
 Jaccard is computed from the texts' shingles (64-bit hashes), members of a first text in blocks of BLOCK, so a group
 of any size is spread over many tasks.
 
-Result: a row for each document: class_id, the least doc_id of its class; n_links, the verified links of its
-text to different texts (they span the class); n_copies, the documents with equal shingles.
+Links are counted after that, when classes are known: a link never leaves a class, so all pairs inside each class are
+verified. A class is dealt in blocks of about PAIRED texts, and each two blocks meet in a task that hands on a number
+for each text, not the pairs. The work grows with the square of a class, and so do the rows: n / PAIRED for each text.
+
+Result: a row for each document: class_id, the least doc_id of its class; n_links, the different texts that are
+similar to its own; n_copies, the documents with equal shingles.
 
 Cases: texts without a word, or null, are linked to nothing, each is its own class; a null doc_id comes after all
 others; rows that repeat are copies; an empty table gives an empty result.
@@ -47,6 +51,11 @@ MAY_DIFFER = 58
 WIDE = 64
 MAY_DIFFER_WIDE = 512
 BLOCK = 256
+#: Texts of a block in which a class is dealt to count its links; it is smaller if its texts have more than SHINGLES.
+PAIRED = 128
+SHINGLES = 1 << 21
+#: Different shingles that are looked at together.
+COLUMNS = 4096
 _LAST = (1 << 63) - 1
 
 
@@ -104,8 +113,8 @@ def _signatures(ngram: int, trees: int, depth: int, used: list[int]):
                 words = [np.bitwise_or.reduce([bits[32 * j + i] << K.U(2 * i) for i in range(32)]).view(np.int64) for j in range(WORDS)]
                 keys_list = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(keys, 1).ravel()), len(keys)).cast(pa.list_(pa.int64()))
                 yield pa.record_batch(
-                    [batch["doc"].take(pa.array(at + has)), batch["tk"].take(pa.array(at + has)), pa.array(node.view(np.int64)), keys_list, *map(pa.array, words)],
-                    names=["doc", "tk", "node", "keys", *[f"w{j}" for j in range(WORDS)]],
+                    [batch["doc"].take(pa.array(at + has)), batch["tk"].take(pa.array(at + has)), pa.array(node.view(np.int64)), keys_list, *map(pa.array, words), pa.array(np.diff(first)[has].astype(np.int64))],
+                    names=["doc", "tk", "node", "keys", *[f"w{j}" for j in range(WORDS)], "size"],
                 )
         K.trim()
 
@@ -196,13 +205,14 @@ def _open_groups(members: DataFrame) -> DataFrame:
 
 
 def links_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ngram: int = NGRAM, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, nodes, links): (doc, tk, node); (node, doc, tk, n_copies, comp); (a, b), nodes that are linked."""
+    """(documents, nodes, links): (doc, tk, node); (node, doc, tk, size, n_copies, comp); (a, b), linked nodes, enough
+    of them to span each class."""
     rows = _documents(docs, text, doc_id)
     used = depths(threshold)
     words = [f"w{j}" for j in range(WORDS)]
-    schema = "doc long, tk long, node long, keys array<long>, " + ", ".join(f"{c} long" for c in words)
+    schema = "doc long, tk long, node long, keys array<long>, " + ", ".join(f"{c} long" for c in words) + ", size long"
     signed = C.cut(rows.mapInArrow(_signatures(ngram, TREES, DEPTH, used), schema))
-    first = F.min(F.struct("doc", "tk", "keys", *words)).alias("s")
+    first = F.min(F.struct("doc", "tk", "keys", *words, "size")).alias("s")
     nodes = C.cut(signed.groupBy("node").agg(F.count(F.lit(1)).alias("n_copies"), first).select("node", "n_copies", "s.*"))
     per_tree = sorted(used)
     links: DataFrame | None = None
@@ -235,14 +245,86 @@ def _keys(depth: int, per_tree: list[int]) -> Column:
     return F.filter("keys", lambda _, i: F.pmod(i, F.lit(len(per_tree))) == place)
 
 
-def similarity_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ngram: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
+def _similar(one: list[np.ndarray], other: list[np.ndarray] | None, threshold: float) -> np.ndarray:
+    """Which texts of one block (rows) are similar to which of another (columns), by their distinct shingles; without
+    another, to which of the same block but themselves."""
+    texts = one + (other or [])
+    sizes = np.array([len(x) for x in texts])
+    values, owner = np.concatenate(texts), np.repeat(np.arange(len(texts)), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    column = np.cumsum(np.r_[False, values[1:] != values[:-1]])
+    n = len(one)
+    held = np.bincount(column) > 1 if other is None else (np.bincount(column, owner < n) > 0) & (np.bincount(column, owner >= n) > 0)
+    column, owner = (np.cumsum(held) - 1)[column[held[column]]], owner[held[column]]
+    both = np.zeros((n, len(texts) - n if other is not None else n), np.int64)
+    for low in range(0, int(held.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        has = np.zeros((len(texts), min(COLUMNS, int(held.sum()) - low)), np.float32)
+        has[owner[a:b], column[a:b] - low] = 1
+        both += (has[:n] @ (has if other is None else has[n:]).T).astype(np.int64)
+    similar = both + 1e-9 >= threshold * (sizes[:n, None] + (sizes if other is None else sizes[n:])[None, :] - both)
+    if other is None:
+        np.fill_diagonal(similar, False)
+    return similar
+
+
+def _degrees(ngram: int, threshold: float):
+    def counts(p: int, q: int, nodes: tuple[list, list], sets: tuple[list, list]) -> tuple[list, list]:
+        if not sets[0] or p != q and not sets[1]:
+            return [], []
+        similar = _similar(sets[0], None if p == q else sets[1], threshold)
+        return nodes[0] + nodes[1], [*similar.sum(1).tolist(), *(similar.sum(0).tolist() if p != q else [])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, sets = None, ([], []), ([], [])
+        frame = lambda out, n: pa.record_batch([pa.array(out, pa.int64()), pa.array(n, pa.int64())], names=["node", "n"])
+        for batch in batches:
+            comps, ps, qs, sides, ids = (batch[c].to_pylist() for c in ("comp", "p", "q", "side", "node"))
+            out, n = [], []
+            for at, to, w in K.batches_of(batch["text"]):
+                g, begin = shingles(w, ngram)
+                for i in range(at, to):
+                    if key != (comps[i], ps[i], qs[i]):
+                        if key:
+                            for kept, new in zip((out, n), counts(*key[1:], nodes, sets), strict=True):
+                                kept += new
+                        key, nodes, sets = (comps[i], ps[i], qs[i]), ([], []), ([], [])
+                    nodes[sides[i]].append(ids[i])
+                    sets[sides[i]].append(np.unique(g[begin[i - at] : begin[i - at + 1]]))
+            yield frame(out, n)
+        if key:
+            yield frame(*counts(*key[1:], nodes, sets))
+        K.trim()
+
+    return run
+
+
+def degrees(nodes: DataFrame, rows: DataFrame, ngram: int, threshold: float) -> DataFrame:
+    """(node, n_links) of nodes in classes of two or more: all pairs of a class, each two blocks of it in one group."""
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / PAIRED, F.sum("size") / SHINGLES)).cast("int")
+    several = nodes.groupBy("comp").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")
+    texts = nodes.join(several, "comp").select("comp", "node", "blocks", own, "doc", "tk").join(rows, ["doc", "tk"])
+    texts = texts.dropDuplicates(["node"]).select("comp", "node", "own", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("met"))
+    dealt = texts.select("comp", F.least("own", "met").alias("p"), F.greatest("own", "met").alias("q"), (F.col("own") > F.col("met")).cast("int").alias("side"), "node", "text")
+    spread = dealt.repartition(F.col("comp"), F.col("p"), F.col("q")).sortWithinPartitions("comp", "p", "q", "side")
+    counted = spread.mapInArrow(_degrees(ngram, threshold), "node long, n long")
+    return C.cut(counted.groupBy("node").agg(F.sum("n").alias("n_links")), free=True)
+
+
+def similarity_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ngram: int = NGRAM, threshold: float = THRESHOLD, counted: bool = True) -> DataFrame:
     """(doc, tk, class_id, first, n_links, n_copies) for each document with a word; first: (doc, tk) of the
-    class's first document. doc is doc_id, or the largest long where that is null."""
-    signed, nodes, links = links_of(docs, text, doc_id, ngram, threshold)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    class's first document. doc is doc_id, or the largest long where that is null. Without ``counted`` links are
+    not counted, and n_links is left out."""
+    signed, nodes, _ = links_of(docs, text, doc_id, ngram, threshold)
     classes = nodes.groupBy("comp").agg(F.min(F.struct("doc", "tk")).alias("first"))
-    full = nodes.join(classes, "comp").join(degree, "node", "left").select("node", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    return signed.join(full, "node").select("doc", "tk", F.col("first.doc").alias("class_id"), "first", "n_links", "n_copies")
+    full = nodes.join(classes, "comp").select("node", "first", "n_copies")
+    n_links = []
+    if counted:
+        full = full.join(degrees(nodes, _documents(docs, text, doc_id), ngram, threshold), "node", "left")
+        n_links = [F.coalesce("n_links", F.lit(0)).alias("n_links")]
+    return signed.join(full, "node").select("doc", "tk", F.col("first.doc").alias("class_id"), "first", *n_links, "n_copies")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -257,7 +339,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **rule) -> DataFrame:
     """docs without the documents that are in the class of an earlier one; of equal rows one stays."""
-    found = similarity_classes(docs, text, doc_id, **rule)
+    found = similarity_classes(docs, text, doc_id, counted=False, **rule)
     keep = found.where((F.col("doc") == F.col("first.doc")) & (F.col("tk") == F.col("first.tk"))).select(F.col("doc").alias("_doc"), F.col("tk").alias("_tk"), F.lit(True).alias("_first")).distinct()
     drop = found.select(F.col("doc").alias("_doc"), F.col("tk").alias("_tk")).distinct().join(keep, ["_doc", "_tk"], "left")
     rows = docs.select(C.packed(docs), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("_d"), F.xxhash64(text).alias("_t"))

@@ -104,6 +104,26 @@ def test_similarity_classes(spark, tmp_path, make):
     assert Counter((r.doc_id, r.class_id) for r in got) == want
 
 
+def jaccards(rows):
+    """(a, b) -> Jaccard, of different sets of shingles, and the set of each row."""
+    sets = [shingles(t) for _, t in rows]
+    kinds = [s for s in dict.fromkeys(sets) if s]
+    return {(a, b): len(a & b) / len(a | b) for i, a in enumerate(kinds) for b in kinds[:i]}, sets
+
+
+@pytest.mark.parametrize("most", [128, 16], ids=["one block", "blocks"])
+def test_all_links_are_counted(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(ngram_join, "PAIRED", most)
+    monkeypatch.setattr(ngram_join, "COLUMNS", 100)
+    rows = copies(3, groups=3, size=60)
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.n_links for r in ngram_join.query(spark, str(tmp_path)).collect()}
+    pairs, sets = jaccards(rows)
+    n = Counter(s for pair, j in pairs.items() if j >= 0.8 for s in pair)
+    assert got == {d: n[s] for (d, _), s in zip(rows, sets, strict=True)}
+    assert max(got.values()) > 24
+
+
 def test_one_of_each(spark, docs, empty):
     df = clashing(docs)
     kept = ngram_join.one_of_each(df)
