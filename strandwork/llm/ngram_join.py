@@ -26,6 +26,7 @@ others; rows that repeat are copies; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -44,12 +45,12 @@ TREES = 24
 DEPTH = 6
 STEP = 2
 RECALL = 0.99999
-#: Bits of SKETCH words that may differ: 128 minima of two bits; at a Jaccard of 0.8 26 +- 5.9 of 256 differ.
+#: Words of the first sketch, 32 minima of two bits in each: at a Jaccard of 0.8 26 +- 5.8 of 256 bits differ.
 WORDS = 4
-MAY_DIFFER = 58
-#: One bit from each of 64 * WIDE minima: at a Jaccard of 0.8 a tenth of them differ, 410 +- 19 of 4096.
+#: Words of the wide one, a bit from each of 64 * WIDE minima: at a Jaccard of 0.8 410 +- 19 of 4096 differ.
 WIDE = 64
-MAY_DIFFER_WIDE = 512
+#: Standard deviations over the mean, up to which bits of a pair at the threshold may differ.
+DEVIATIONS = 5.6
 BLOCK = 256
 #: Texts of a block in which a class is dealt to count its links; it is smaller if its texts have more than SHINGLES.
 PAIRED = 128
@@ -67,6 +68,15 @@ def depths(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH,
     return out
 
 
+def may_differ(threshold: float = THRESHOLD) -> tuple[int, int]:
+    """Of the first sketch's bits, and of the wide one's, how many may differ in a pair at the threshold. A minimum is
+    another with a probability of 1 - threshold, and each of its bits then differs with one of a half."""
+    other = 1 - threshold
+    first = 32 * WORDS * other + DEVIATIONS * math.sqrt(32 * WORDS * (1.5 * other - other**2))
+    wide = 64 * WIDE * other / 2 + DEVIATIONS * math.sqrt(64 * WIDE * other / 2 * (1 - other / 2))
+    return math.ceil(first), math.ceil(wide)
+
+
 def shingles(w: K.Words, ngram: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles of the documents, one after the other, and where each document's begin (with an end)."""
     g = K.grams(w.hash, ngram)
@@ -209,6 +219,7 @@ def links_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ngram:
     of them to span each class."""
     rows = _documents(docs, text, doc_id)
     used = depths(threshold)
+    most, most_wide = may_differ(threshold)
     words = [f"w{j}" for j in range(WORDS)]
     schema = "doc long, tk long, node long, keys array<long>, " + ", ".join(f"{c} long" for c in words) + ", size long"
     signed = C.cut(rows.mapInArrow(_signatures(ngram, TREES, DEPTH, used), schema))
@@ -227,12 +238,12 @@ def links_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ngram:
     members = classed.select("node", "comp", *words, F.explode("keys").alias("key"))
     members = C.cut(members.join(_open_groups(members.withColumn("doc", F.lit(0))).drop("first"), "key"))
     also = lambda columns: members.select(F.col("key").alias("_key"), F.col("node").alias("_node"), F.col("comp").alias("_comp"), *[F.col(c).alias(f"_{c}") for c in columns])
-    near = (F.col("key") == F.col("_key")) & (_differ(words) <= MAY_DIFFER)
+    near = (F.col("key") == F.col("_key")) & (_differ(words) <= most)
     some = members.join(also(words), near & (F.col("comp") != F.col("_comp")), "left_semi").select("node").distinct()
     sketches = wide_sketches(nodes.join(some, "node", "left_semi"), rows, ngram)
     members = C.cut(members.join(sketches, "node"))
     wide = [f"x{j}" for j in range(WIDE)]
-    nearer = (F.col("key") == F.col("_key")) & (F.col("comp") < F.col("_comp")) & (_differ(words) <= MAY_DIFFER) & (_differ(wide) <= MAY_DIFFER_WIDE)
+    nearer = (F.col("key") == F.col("_key")) & (F.col("comp") < F.col("_comp")) & (_differ(words) <= most) & (_differ(wide) <= most_wide)
     cross = members.join(also(words + wide), nearer)
     more = verified(cross.select(F.col("node").alias("a"), F.col("_node").alias("b"), "n"), nodes, rows, ngram, threshold)
     links = C.cut(links.unionByName(more))

@@ -124,6 +124,17 @@ def test_all_links_are_counted(spark, tmp_path, monkeypatch, most):
     assert max(got.values()) > 24
 
 
+def test_may_differ():
+    assert ngram_join.may_differ(0.8)[0] == 58 and ngram_join.may_differ(0.8)[1] >= 512
+    rng = np.random.default_rng(0)
+    for t in (0.6, 0.7, 0.75, 0.9):
+        other = rng.random((4000, 4096)) >= t
+        wide = (other & (rng.random(other.shape) < 0.5)).sum(1)
+        first = rng.binomial(2, 0.5, (4000, 128)) * other[:, :128]
+        for bits, most in zip((first.sum(1), wide), ngram_join.may_differ(t), strict=True):
+            assert bits.max() <= most <= bits.mean() + 7 * bits.std()
+
+
 def test_one_of_each(spark, docs, empty):
     df = clashing(docs)
     kept = ngram_join.one_of_each(df)
