@@ -12,7 +12,7 @@ short documents, so that the one that is left over is rather a short one.
 Blocks are dealt by a hash of the document, so a source that holds most rows has more blocks, not larger ones.
 Randomness is a hash of seed, level and pair: reruns agree.
 
-Cases: a null text, and one without words, has size 0 and takes part in nothing; a null source is a source, the
+Cases: a null text, and one without words, has size 0 and takes part in nothing, so it has no copies; a null source is a source, the
 last one; a null doc_id is a value like others; rows equal in doc_id, text and source share one decision; an
 empty table gives an empty result. Sources are a small table (ranks and targets are computed in one task).
 """
@@ -118,7 +118,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     split = (F.col("size") > 0) & (F.col("_p") > 1e-12)
     todo = all_units.where(split).select(F.col("_src").alias("src"), F.pmod(h, blocks).alias("block"), blocks.alias("blocks"), u.alias("u"))
     rounded = pivotal(todo, -(-(most or 1) // FAN), seed).select("u.*", "up").drop("o", "h", "a", "p")
-    done = rounded.unionByName(all_units.where(~split).select(*kept, F.lit(0).alias("up")))
+    done = rounded.unionByName(all_units.where(~split).select(*kept, F.lit(0).alias("up")).withColumn("_whole", F.when(F.col("size") > 0, F.col("_whole")).otherwise(0)))
     one = done.withColumn("copies", F.col("_whole") + F.col("up")).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_m"))))
     return one.select("doc_id", "source", "_tk", "size", "source_size", "target", "copies")
 

@@ -349,12 +349,13 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **rule) -> DataFrame:
-    """docs without the documents that are in the class of an earlier one; of equal rows one stays."""
+    """docs without the documents that are in the class of an earlier one; of equal rows one stays. Texts without a
+    word have no class: of those that are equal the first document stays."""
     found = similarity_classes(docs, text, doc_id, counted=False, **rule)
     keep = found.where((F.col("doc") == F.col("first.doc")) & (F.col("tk") == F.col("first.tk"))).select(F.col("doc").alias("_doc"), F.col("tk").alias("_tk"), F.lit(True).alias("_first")).distinct()
     drop = found.select(F.col("doc").alias("_doc"), F.col("tk").alias("_tk")).distinct().join(keep, ["_doc", "_tk"], "left")
     rows = docs.select(C.packed(docs), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("_d"), F.xxhash64(text).alias("_t"))
     joined = rows.join(drop, (rows["_d"] == drop["_doc"]) & (rows["_t"] == drop["_tk"]), "left")
-    wordless = joined.where("_doc IS NULL").select("_row")
+    wordless = joined.where("_doc IS NULL").groupBy("_t").agg(F.min(F.struct("_d", "_row")).alias("_one")).select("_one._row")
     firsts = joined.where("_first").groupBy("_d", "_t").agg(F.min("_row").alias("_row")).select("_row")
     return firsts.unionByName(wordless).select(*C.unpacked("_row", docs.columns))

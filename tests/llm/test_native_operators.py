@@ -111,6 +111,14 @@ def test_mixing_many_levels(spark, monkeypatch):
         assert abs((mine["copies"] * mine["size"]).sum() - mine["target"].iloc[0]) <= 50
 
 
+def test_mixing_takes_no_text_without_words(spark):
+    rows = [(i, "w " * 9, "en", "s", 0) for i in range(20)] + [(50 + i, t, "en", "s", 0) for i, t in enumerate(["", "\n\n", None, ""])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.mix(df).toPandas()
+    assert len(got) == 24 and (got[got["size"] == 0]["copies"] == 0).all() and (got[got["size"] > 0]["copies"] > 0).all()
+    assert {r.doc_id for r in mixing.mixed(df).collect()} == set(range(20))
+
+
 def test_mixed_rows_and_clashing_names(docs, empty):
     df = clashing(docs)
     out = mixing.mixed(df)

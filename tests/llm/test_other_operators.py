@@ -146,6 +146,13 @@ def test_one_of_each(spark, docs, empty):
     assert ngram_join.one_of_each(empty).columns == empty.columns and ngram_join.one_of_each(empty).count() == 0
 
 
+def test_one_of_each_text_without_words(spark):
+    texts = ["", "\n\n", "", None, " ", "\n\n", "", None, "a word", "a word"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, ""), (2, "")]
+    kept = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter(map(tuple, kept)) == Counter([(0, ""), (1, "\n\n"), (3, None), (4, " "), (8, "a word")])
+
+
 def test_depths():
     assert ngram_join.depths(recall=0.5) == [6]
     last = ngram_join.depths()[-1]
