@@ -8,7 +8,7 @@ process: nothing depends on a seed that isn't here.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -120,6 +120,21 @@ def chunks(data: np.ndarray, offsets: np.ndarray, size: int = CHUNK) -> Iterator
         at = to
 
 
+def hashes(data: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function of (start, end) that hashes slices of data."""
+    n = len(data)
+    up, down = _power_tables(n + 1)
+    sums = np.zeros(n + 1, U)
+    np.cumsum(_BYTE[data] * up[:n], out=sums[1:])
+    return lambda start, end: mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U))
+
+
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each slice, one after the other."""
+    total = np.cumsum(size)
+    return np.arange(total[-1] if len(total) else 0) + np.repeat(start - (total - size), size)
+
+
 def words(data: np.ndarray, offsets: np.ndarray, hashed: bool = True) -> Words:
     n = len(data)
     inside = np.zeros(n + 2, bool)
@@ -132,10 +147,7 @@ def words(data: np.ndarray, offsets: np.ndarray, hashed: bool = True) -> Words:
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     h = np.zeros(len(starts), U)
     if hashed and n:
-        up, down = _power_tables(n + 1)
-        sums = np.zeros(n + 1, U)
-        np.cumsum(_BYTE[data] * up[:n], out=sums[1:])
-        h = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U))
+        h = hashes(data)(starts, ends)
     return Words(data, offsets, starts, ends, doc, first, h)
 
 
@@ -146,6 +158,27 @@ def batches_of(texts: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, W
         yield at, to, words(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
 
 
+def parts_of(texts: pa.Array, size: int = CHUNK) -> Iterator[tuple[Words, bool]]:
+    """Words of ranges of the documents, as batches_of() has them, but a document of more than ``size`` bytes comes in
+    parts of about as many, cut at blanks. True: the one document of this part goes on in the next."""
+    data, offsets = buffers(texts)
+    for at, to in chunks(data, offsets, size):
+        low, high = int(offsets[at]), int(offsets[to])
+        while high - low > size and to == at + 1:
+            cut = low + size
+            while cut < high:
+                blanks = np.flatnonzero(_BLANK[data[cut : cut + size]])
+                if len(blanks):
+                    cut += int(blanks[0])
+                    break
+                cut = min(high, cut + size)
+            if cut >= high:
+                break
+            yield words(data[low:cut], np.array([0, cut - low])), True
+            low = cut
+        yield words(data[low:high], np.maximum(offsets[at : to + 1], low) - low), False
+
+
 def grams(h: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
     """Hashes of n consecutive words that start at each place; the last n - 1 have none. Documents' borders are not seen."""
     if len(h) < n:

@@ -266,13 +266,60 @@ def test_bpe_is_the_librarys(spark, docs, empty):
     assert row.ids == library.encode("same row", add_special_tokens=False).ids
 
 
-def test_merging_by_scan_and_queue(monkeypatch):
+def plain_merge(t, parts):
+    """Merging by rank, one pair at a time."""
+    ranks = dict(zip(t.ranks.keys.tolist(), t.ranks.values.tolist()))
+    while True:
+        found = [(ranks[p] >> 20, i, ranks[p]) for i, p in enumerate(a << 20 | b for a, b in zip(parts, parts[1:])) if ranks.get(p, -1) >= 0]
+        if not found:
+            return parts
+        _, i, both = min(found)
+        parts = [*parts[:i], both & ((1 << 20) - 1), *parts[i + 2 :]]
+
+
+def test_merging_of_arrays_and_by_queue():
     t = bpe.load(bpe.default_path())
-    for word in ("internationalization", "aaaaaaaaaa", "zzqx", "thetheth"):
-        scanned = t.exact(word.encode())
-        monkeypatch.setattr(bpe, "SHORT", 0)
-        assert t.exact(word.encode()) == scanned
-        monkeypatch.undo()
+    rng = random.Random(5)
+    made = ["internationalization", "aaaaaaaaaa", "zzqx", "thetheth", "a", "a" * 90] + ["".join(rng.choice("aeinorst") for _ in range(rng.randrange(1, 60))) for _ in range(300)]
+    data = np.frombuffer("".join(made).encode(), np.uint8)
+    edge = np.r_[0, np.cumsum([len(w) for w in made])]
+    flat, first = t._symbols_of(data, edge[:-1], edge[1:])
+    got, begin = t.merge_all(flat, first)
+    learned, learned_first = t.learn(data, edge[:-1], edge[1:])
+    for i in range(len(made)):
+        parts = flat[first[i] : first[i + 1]].tolist()
+        want = plain_merge(t, parts)
+        assert got[begin[i] : begin[i + 1]].tolist() == t.merge_long(list(parts)) == want == learned[learned_first[i] : learned_first[i + 1]].tolist()
+
+
+def test_bpe_of_every_code_point():
+    """Classes, case and normal forms are the library's: every code point within a word, 64 words to a text."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.default_path())
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{chr(c)}B" for c in points[i : i + 64]) for i in range(0, len(points), 64)]
+    want = library.encode_batch(texts, add_special_tokens=False)
+    for w, (ids, _) in zip(want, bpe.encode_texts(bpe.default_path(), pa.array(texts)), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == w.ids
+
+
+def test_bpe_in_parts_and_with_a_small_memory(monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(3000)}x{rng.choice(['', 'é', '!', 'Ω', '<|endoftext|>'])}" for _ in range(rng.randrange(600))) for _ in range(30)] + ["z" * 5000, "", None]
+    bpe.load.cache_clear()
+    want = list(bpe.encode_texts(bpe.default_path(), pa.array(texts)))
+    monkeypatch.setattr(bpe, "CHUNK", 500)
+    monkeypatch.setattr(bpe, "PAIRS", 50)
+    bpe.load.cache_clear()
+    assert list(bpe.encode_texts(bpe.default_path(), pa.array(texts), cache=40)) == want
+    assert len(bpe.load(bpe.default_path()).known.keys) < 400
+    bpe.load.cache_clear()
+
+
+def test_bpe_with_clashing_names(docs):
+    got = bpe.encode(clashing(docs).withColumns({"ids": F.lit(1), "decoded": F.lit("x")}))
+    assert got.columns == ["doc_id", "ids", "decoded"] and Counter(map(str, got.collect())) == Counter(map(str, bpe.encode(docs).collect()))
 
 
 # -- 9
