@@ -6,8 +6,9 @@ a rule out, is bit arithmetic over the ledger and never touches a text again. No
 measured where it is read.
 
 Cases: a null text has no words and fails ``few_words``; an empty table gives an empty ledger; rows that
-repeat are measured one by one; all input columns ride along in one struct, whatever their names. Three-word
-windows are compared by 64 bits of hash within one document.
+repeat, or share a doc_id, are measured one by one; there are no ties; all input columns ride along in one struct,
+whatever their names. Texts of any length are measured exactly: sorted hashes only say which three-word windows may be
+equal, and those are compared word by word.
 """
 
 from __future__ import annotations
@@ -54,14 +55,22 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         F.length(F.bin(F.size("_words"))).alias("_bits"),
         F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(C.BLANKS)) != "").alias("_lines"),
     )
-    # A window's hash without its last bits, which hold the position: sorting one array of longs brings equal windows together.
+    # A window's hash with its last bits replaced by the position: sorting one array of longs brings together windows
+    # that may be equal. The longer the text, the fewer bits of hash are left, so neighbours are compared by their words.
     window = lambda i: F.xxhash64(F.col("_words")[i], F.col("_words")[i + 1], F.col("_words")[i + 2])
-    place = lambda i: F.call_function("shiftleft", F.call_function("shiftright", window(i), F.col("_bits")), F.col("_bits")) + i
-    a = a.withColumn("_windows", F.when(F.col("_n") >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.col("_n") - 3), place))))
-    same = lambda x, y: F.call_function("shiftright", x.bitwiseXOR(y), F.col("_bits")) == 0
-    w = F.col("_windows")
-    twice = lambda x, i: ((i > 0) & same(x, F.get(w, i - 1))) | F.coalesce(same(x, F.get(w, i + 1)), F.lit(False))
-    at = lambda x: (x - F.call_function("shiftleft", F.call_function("shiftright", x, F.col("_bits")), F.col("_bits"))).cast("int")
+    high = lambda x: F.call_function("shiftleft", F.call_function("shiftright", x, F.col("_bits")), F.col("_bits"))
+    a = a.withColumn("_windows", F.when(F.col("_n") >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.col("_n") - 3), lambda i: high(window(i)) + i))))
+    w, words = F.col("_windows"), F.col("_words")
+    near = lambda x, y: F.call_function("shiftright", x.bitwiseXOR(y), F.col("_bits")) == 0
+    at = lambda x: (x - high(x)).cast("int")
+    equal = lambda x, y: near(x, y) & (words[at(x)] == words[at(y)]) & (words[at(x) + 1] == words[at(y) + 1]) & (words[at(x) + 2] == words[at(y) + 2])
+
+    def twice(x: Column, i: Column) -> Column:
+        before, after = F.get(w, i - 1), F.get(w, i + 1)
+        either = lambda test: F.coalesce(test(x, before), F.lit(False)) | F.coalesce(test(x, after), F.lit(False))
+        # Neighbours with equal bits and other words are so rare that all windows can be looked through for them.
+        return F.when(~either(near), False).when(either(equal), True).otherwise(F.exists(w, lambda y: (y != x) & equal(x, y)))
+
     a = a.withColumn("_places", F.sort_array(F.transform(F.filter(w, twice), at)))
     covered = F.aggregate(
         "_places",
