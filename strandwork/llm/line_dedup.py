@@ -1,27 +1,31 @@
 """Operator 7: line dedup that returns keep bitmaps.
 
 Lines become 128-bit hashes of their keys. These are range-partitioned by (hash, document), sorted within
-partitions by (hash, document, position), and streamed: the first line of each (hash, document) run is that
-document's first occurrence. A range on hash *and* document lets one line that a third of all documents hold
-spread over many partitions; what then meets at a hash is one partial row from each partition.
-
-Which lines go is returned as a run-length bitmap: the runs ``(start, len)`` of kept lines of each document.
-
-Cases: a null or empty text is one empty line; keys shorter than ``min_chars`` code points are never dropped;
-rows that repeat a doc_id count as documents of their own unless their texts are equal as well, and then they
-count once and get equal results; a null doc_id is a value like others; an empty table gives an empty result.
-Two different keys are held apart by 128 bits of hash.
+partitions by (hash, document, position), and streamed: a window over that order numbers the lines of each
+(hash, document) run, and its first is that document's first occurrence. A range on hash *and* document lets one line
+that a third of all documents hold spread over many partitions; what then meets at a hash is one partial row from each
+partition.
+
+Which lines go is returned as a run-length bitmap: the runs ``(start, len)`` of kept lines of each document. Hashes that
+go are brought back to the lines by a broadcast of the most frequent ones, whose number is bounded (BROADCAST_KEYS),
+and by a shuffle of the others, of which none has more than a BROADCAST_KEYS-th of all lines.
+
+Cases: a null or empty text is one empty line; a very long text is so many rows of lines, and one bitmap; keys shorter
+than ``min_chars`` code points are never dropped; rows that repeat a doc_id count as documents of their own unless their
+texts are equal as well, and then they count once and get equal results; of equal lines in one document the first
+counts; a null doc_id is a value like others; an empty table gives an empty result; all columns of a document ride along
+in one struct, whatever their names. Two different keys are held apart by 128 bits of hash.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 
 RUNS = "array<struct<start:int,len:int>>"
-#: Hashes to be dropped are broadcast up to this many (24 bytes each); beyond it they are joined by a shuffle.
+#: So many hashes of lines (24 bytes each) are broadcast at most; there can't be more that hold this part of all lines.
 BROADCAST_KEYS = 100_000
 
 
@@ -47,8 +51,9 @@ def _hashed_lines(docs: DataFrame, text: str, doc_id: str, min_chars: int) -> Da
 def line_occurrences(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = 1) -> tuple[DataFrame, DataFrame]:
     """The hashed lines, and for each hash how many documents hold it and where it comes first."""
     lines = C.cut(_hashed_lines(docs, text, doc_id, min_chars))
-    streamed = lines.repartitionByRange("_h0", "_h1", "_doc", "_tk").sortWithinPartitions("_h0", "_h1", "_doc", "_tk", "_pos")
-    firsts = streamed.groupBy("_h0", "_h1", "_doc", "_tk").agg(F.min("_pos").alias("_pos"))
+    order = ["_h0", "_h1", "_doc", "_tk"]
+    streamed = lines.repartitionByRange(*order).sortWithinPartitions(*order, "_pos")
+    firsts = streamed.withColumn("_nth", F.row_number().over(Window.partitionBy(*order).orderBy("_pos"))).where("_nth = 1")
     return lines, firsts.groupBy("_h0", "_h1").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("_doc", "_tk", "_pos")).alias("first"))
 
 
@@ -56,11 +61,13 @@ def dropped_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", m
     """(_doc, _tk, dropped): for each document with any, the positions of lines whose key is in at least
     ``min_docs`` documents. keep_first: but not the first of all, by document, then position."""
     lines, keys = line_occurrences(docs, text, doc_id, min_chars)
-    keys = keys.where(F.col("n_docs") >= min_docs).select("_h0", "_h1", *(["first"] if keep_first else []))
-    keys = C.cut(keys)
+    keys = C.cut(keys.where(F.col("n_docs") >= min_docs).select("_h0", "_h1", "n_docs", *(["first"] if keep_first else [])))
     if keys.count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    hit = lines.join(keys, ["_h0", "_h1"])
+        hit = lines.join(F.broadcast(keys), ["_h0", "_h1"])
+    else:  # a hash counts a document once, so fewer than BROADCAST_KEYS have more documents than this
+        often = F.col("n_docs") * F.lit(BROADCAST_KEYS) > F.lit(lines.count())
+        hot = F.broadcast(keys.where(often))
+        hit = lines.join(hot, ["_h0", "_h1"]).unionByName(lines.join(hot, ["_h0", "_h1"], "left_anti").join(keys.where(~often), ["_h0", "_h1"]))
     if keep_first:
         hit = hit.where(~F.struct("_doc", "_tk", "_pos").eqNullSafe(F.col("first")))
     return hit.groupBy("_doc", "_tk").agg(F.sort_array(F.collect_set("_pos")).alias("dropped"))
