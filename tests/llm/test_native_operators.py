@@ -153,6 +153,25 @@ def test_quality(docs, empty):
     assert quality_rules.ledger(df).where(quality_rules.passes()).select(*C.unpacked("_row", df.columns)).columns == df.columns
 
 
+def test_quality_of_a_very_long_text(spark):
+    """Exact at any length: distinct words repeat no window, and one that repeats at the ends is found."""
+    n = 5_000_000
+    made = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i.cast("string")), " ")
+    df = spark.range(1).select(F.explode(F.array(made, F.concat(made, F.lit(" 7 8 9")))).alias("text"))
+    got = quality_rules.ledger(df).select("n_words", "n_repeat_words").collect()
+    assert sorted(map(tuple, got)) == [(n, 0), (n + 3, 6)]
+
+
+def test_quality_of_equal_hash_bits(spark, monkeypatch):
+    """With few bits of hash left, windows that aren't equal share them; the words decide."""
+    monkeypatch.setattr(F, "xxhash64", lambda *cols: F.pmod(F.crc32(F.concat(*cols)), F.lit(5)).cast("long") * (1 << 60))
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("abcd") for _ in range(rng.randrange(40)))) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in quality_rules.ledger(df).select("_row.text", "n_repeat_words").collect():
+        assert r.n_repeat_words == measures(r.text)[4]
+
+
 def test_ablations(docs):
     bits = [r.fail_bits for r in quality_rules.ledger(docs).select("fail_bits").collect()]
     for r in quality_rules.ablations(quality_rules.ledger(docs)).collect():
@@ -190,6 +209,71 @@ def test_fingerprints(spark, docs, empty, tmp_path):
     assert fingerprints.query(spark, str(tmp_path / "one")).first().near_next == 1.0
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def plain_hash(values):
+    """The engine's 64-bit hash of strings (as UTF-8) and integers, from its definition: XXH64 chained by seed 42."""
+    import xxhash
+
+    seed = 42
+    for v in values:
+        if v is None:
+            continue
+        data = v.encode() if isinstance(v, str) else (v % (1 << 64)).to_bytes(8, "little") if isinstance(v, int) else v
+        seed = xxhash.xxh64_intdigest(data, seed)
+    return signed(seed)
+
+
+def plain_anchors(text, k=5, s=2):
+    w = words(text)
+    if len(w) < k:
+        return [(0, plain_hash([" ".join(w)]))] if w else []
+    inner = [plain_hash(w[i : i + s]) for i in range(len(w) - s + 1)]
+    out = []
+    for i in range(len(w) - k + 1):
+        mine = inner[i : i + k - s + 1]
+        if min(mine) in (mine[0], mine[-1]):
+            out.append((i, plain_hash([mine[0], mine[2], mine[3]])))
+    return out
+
+
+def test_anchors_and_likeness_by_brute_force(spark, tmp_path):
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(300)}" for _ in range(4000)]
+    texts = [t for _, t, *_ in odd_documents(n=40)][:60]
+    texts += [" ".join(base), " ".join(base[2000:] + base[:2000]), " ".join(base[:1500] + ["new"] * 7 + base[1500:]), "a a a a a a a a", "a b c d e", "a b", None, ""]
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in fingerprints.query(spark, str(tmp_path)).collect()}
+
+    def links(a):
+        return {plain_hash([h, a[i + 1][1], (a[i + 1][0] - p).to_bytes(4, "little")]) if i + 1 < len(a) else plain_hash([h]) for i, (p, h) in enumerate(a)}
+
+    def near(a, b):
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    for i, t in rows:
+        t, following = t or "", rows[i - 1][1] or ""
+        half = len(t) // 2
+        own, edited, after = (plain_anchors(x) for x in (t, t[: len(t) - half] + following[:half], following))
+        hashes = lambda a: {h for _, h in a}
+        r = got[i]
+        assert r.fingerprint == "".join(f"{x:08x}" for x in sorted((h % (1 << 64)) >> 32 for h in hashes(own))[:96])
+        assert r.edited_fingerprint == "".join(f"{x:08x}" for x in sorted((h % (1 << 64)) >> 32 for h in hashes(edited))[:96])
+        assert r.near_edited == pytest.approx(near(hashes(own), hashes(edited))) and r.near_next == pytest.approx(near(hashes(own), hashes(after)))
+        assert r.aligned_edited == pytest.approx(near(links(own), links(edited))) and r.aligned_next == pytest.approx(near(links(own), links(after)))
+    moved = got[61]  # the same passages in another order: nearly all anchors, and nearly all links
+    assert moved.near_next > 0.99 and moved.aligned_next > 0.99
+
+
+def test_fingerprints_keep_other_columns(docs):
+    df = clashing(docs).drop("_text")
+    got = fingerprints.fingerprints(df)
+    assert set(got.columns) == {*df.columns, "anchors", "fingerprint"} and got.count() == len(odd_documents())
+
+
 def test_syncmers_do_not_depend_on_context(spark):
     rng = random.Random(1)
     body = [f"w{rng.randrange(50)}" for _ in range(200)]
@@ -228,7 +312,7 @@ def drop_lines(texts, least, chars=1):
     return out
 
 
-@pytest.mark.parametrize("limit", [0, 100_000])
+@pytest.mark.parametrize("limit", [0, 20, 100_000])
 @pytest.mark.parametrize("least", [2, 10])
 def test_line_dedup(docs, empty, least, limit, monkeypatch):
     monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", limit)
@@ -244,6 +328,14 @@ def test_line_dedup(docs, empty, least, limit, monkeypatch):
     assert set(line_dedup.line_dedup(clashing(docs)).columns) == {"_row", "n_lines", "n_dropped", "keep"}
 
 
+def test_lines_are_streamed_in_order(docs):
+    """The sort within ranges is in the plan, and no exchange stands between it and the window."""
+    _, keys = line_dedup.line_occurrences(docs)
+    plan = keys._jdf.queryExecution().executedPlan().toString()
+    before = plan[: plan.index("rangepartitioning")]
+    assert "Sort [_h0" in before and "Window" in before and before.count("Exchange") == 2, plan
+
+
 def test_first_lines_stay(spark):
     df = spark.createDataFrame([(2, "a\nb\na"), (1, "b\nc"), (3, "c\na")], "doc_id long, text string")
     found = line_dedup.line_dedup(df, min_docs=1, keep_first=True)
