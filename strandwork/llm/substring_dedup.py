@@ -2,10 +2,13 @@
 
 The reference that documents are parsed against is every earlier document, indexed by the hashes of all its
 windows of ``window`` words and dealt in blocks by hash, so that each document meets every block and no block is
-larger than others for a passage that many documents hold. A document is parsed greedily from left to right: a
-factor goes on while the next window stands in the same earliest document; where it ends, and across the border
-to the next factor, every window is looked up on its own. So factors, taken together, cover exactly the words of
-windows that also start in a document with a smaller id.
+larger than others for a passage that many documents hold. The index gives each window of a document that starts in an
+earlier one too its first place there. A document is parsed greedily from left to right: a factor (start, length,
+document, place in it) goes on while the next window's place is the next one in the same document, so each factor stands
+word for word in its document. Where it ends, and across the border to the next factor, every window has been looked up
+on its own. So factors, taken together, cover exactly the words of windows that also start in a document with a smaller
+id. The parse is greedy among first places; a longer match that begins at a later place isn't looked for, as it would
+cover the same words.
 
 To index every window of every text would move several times the input. Two facts keep it small:
 - Equal windows have equal minimizers (of the hashes of their ANCHOR-word grams the least). Minimizers are about a
@@ -13,8 +16,11 @@ To index every window of every text would move several times the input. Two fact
 - Of the occurrences that one batch of documents holds, only those of its first document are sent; the others are
   decided where they are. A passage in a third of all documents thus costs one row per batch, not per document.
 
-Cases: a null or empty text has no words; texts shorter than a window lose nothing; documents with equal ids don't
-repeat each other; a null id comes after all others; windows are compared by 64 bits of hash.
+Cases: a null or empty text has no words; texts shorter than a window lose nothing; a very long text is one row, parsed
+in arrays; documents with equal ids don't repeat each other, however many there are, and are told apart by 64 bits of
+hash of their texts; rows equal in both have equal results; a null id comes after all others; of several places of a
+window in its first document the first is taken; an empty table gives an empty result; of other columns, whatever their
+names, nothing is read. Windows are compared by 64 bits of hash.
 """
 
 from __future__ import annotations
@@ -35,9 +41,9 @@ ANCHOR = 5
 _LAST = (1 << 63) - 1
 _MOST = np.uint64((1 << 64) - 1)
 
-#: key: what must meet; doc, tk: the document (tk tells apart rows with equal ids); pos: the word; more: other places
+#: key: what must meet; doc, tk: the document (tk, the hash of its text, tells apart rows with equal ids); pos: the word; more: other places
 #: of the key in the document; local: places that were decided in the batch.
-_ROWS = "key long, doc long, tk short, pos int, more binary, local binary"
+_ROWS = "key long, doc long, tk long, pos int, more binary, local binary"
 #: Bytes of text whose occurrences are decided together.
 GATHER = 1 << 24
 
@@ -55,21 +61,26 @@ def anchor_places(w: K.Words, window: int, anchor: int) -> tuple[np.ndarray, np.
     return x, full, least, np.flatnonzero(most == x)
 
 
-def as_runs(pos: np.ndarray, ref: np.ndarray) -> np.ndarray:
-    """(start, number, ref) of places that follow each other and have the same ref; pos rises."""
-    edge = np.flatnonzero(np.r_[True, (pos[1:] != pos[:-1] + 1) | (ref[1:] != ref[:-1])])
-    return np.stack([pos[edge], np.diff(np.r_[edge, len(pos)]), ref[edge]], 1).astype(np.int64)
+def _edges(pos: np.ndarray, ref: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where a run begins: places that follow each other, as their places in the same document do; pos rises."""
+    return np.flatnonzero(np.r_[True, (pos[1:] != pos[:-1] + 1) | (ref[1:] != ref[:-1]) | (at[1:] != at[:-1] + 1)])
 
 
-def from_runs(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def as_runs(pos: np.ndarray, ref: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(start, number, document, place in it) of runs."""
+    edge = _edges(pos, ref, at)
+    return np.stack([pos[edge], np.diff(np.r_[edge, len(pos)]), ref[edge], at[edge]], 1).astype(np.int64)
+
+
+def from_runs(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = runs[:, 1]
     inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return np.repeat(runs[:, 0], n) + inner, np.repeat(runs[:, 2], n)
+    return np.repeat(runs[:, 0], n) + inner, np.repeat(runs[:, 2], n), np.repeat(runs[:, 3], n) + inner
 
 
 def _split(key: np.ndarray, doc: np.ndarray, tk: np.ndarray, pos: np.ndarray, refs: bool) -> pa.RecordBatch:
     """One row for each key, of the first document that has it. What is decided here is packed: with refs the
-    places in later documents (runs, ref: the first document), else all places of keys that two documents share."""
+    places in later documents (runs), else all places of keys that two documents share."""
     order = np.lexsort((pos, tk, doc, key))
     key, doc, tk, pos = key[order], doc[order], tk[order], pos[order]
     n = len(key)
@@ -77,7 +88,7 @@ def _split(key: np.ndarray, doc: np.ndarray, tk: np.ndarray, pos: np.ndarray, re
     new[1:] = key[1:] != key[:-1]
     at = np.flatnonzero(new)
     group = np.cumsum(new) - 1
-    first = doc[at][group] if n else doc
+    first, place = (doc[at][group], pos[at][group]) if n else (doc, pos)
     later = doc > first
     shared = later if refs or not n else np.logical_or.reduceat(later, at)[group]
     send = ~later & (refs | ~shared | new)
@@ -91,20 +102,20 @@ def _split(key: np.ndarray, doc: np.ndarray, tk: np.ndarray, pos: np.ndarray, re
         more[i] = sp[heads[i] + 1 : heads[i] + size[i]].astype(np.int32).tobytes()
     packed: dict[tuple[int, int], bytes] = {}
     if shared.any():
-        d, t, p, r = doc[shared], tk[shared], pos[shared], first[shared]
+        d, t, p, r, q = doc[shared], tk[shared], pos[shared], first[shared], place[shared]
         by = np.lexsort((p, t, d))
-        d, t, p, r = d[by], t[by], p[by], r[by]
+        d, t, p, r, q = d[by], t[by], p[by], r[by], q[by]
         edge = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (t[1:] != t[:-1])])
         for a, b in zip(edge.tolist(), np.r_[edge[1:], len(d)].tolist(), strict=True):
-            packed[int(d[a]), int(t[a])] = as_runs(p[a:b], r[a:b]).tobytes() if refs else p[a:b].astype(np.int32).tobytes()
+            packed[int(d[a]), int(t[a])] = as_runs(p[a:b], r[a:b], q[a:b]).tobytes() if refs else p[a:b].astype(np.int32).tobytes()
     m = len(packed)
-    docs, tks = np.array([x for x, _ in packed], np.int64), np.array([x for _, x in packed], np.int16)
-    spread = K.mix(docs.view(K.U)).view(np.int64)
+    docs, tks = np.array([x for x, _ in packed], np.int64), np.array([x for _, x in packed], np.int64)
+    spread = K.mix(docs.view(K.U) ^ tks.view(K.U)).view(np.int64)
     return pa.record_batch(
         [
             pa.array(np.concatenate([key[heads].view(np.int64), spread])),
             pa.array(np.concatenate([sd[heads], docs])),
-            pa.array(np.concatenate([st[heads].astype(np.int16), tks])),
+            pa.array(np.concatenate([st[heads], tks])),
             pa.array(np.concatenate([sp[heads], np.full(m, -1)]).astype(np.int32)),
             pa.array([*more, *[None] * m], pa.binary()),
             pa.array([None] * len(heads) + list(packed.values()), pa.binary()),
@@ -127,7 +138,7 @@ def _gathered(parts: Iterator[tuple[int, tuple[np.ndarray, ...]]], refs: bool) -
 
 
 def _identity(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return batch["doc"].to_numpy(zero_copy_only=False).astype(np.int64), batch["tk"].to_numpy(zero_copy_only=False).astype(np.int16)
+    return batch["doc"].to_numpy(zero_copy_only=False).astype(np.int64), batch["tk"].to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _anchors(window: int, anchor: int):
@@ -172,13 +183,13 @@ def _windows(window: int, anchor: int):
 
 
 def _documents(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).bitwiseAND(F.lit(32767)).cast("short").alias("tk"), F.col(text).alias("text"))
+    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("tk"), F.col(text).alias("text"))
 
 
 def repeated_windows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(doc, tk, pos, ref, more, runs): of each document with any, its windows that also start in a document before
     it: places and, in the same order, refs; other places, packed, with ref; and runs decided in a batch. ref: the
-    earliest document that was seen with the window."""
+    earliest document that was seen with the window, and its first place there."""
     rows = _documents(docs, text, doc_id)
     sent = rows.mapInArrow(_anchors(window, anchor), _ROWS)
     met = Window.partitionBy("key")
@@ -186,51 +197,47 @@ def repeated_windows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     own = F.col("local").isNull()
     by_doc = C.cut(sent.groupBy("doc", "tk").agg(F.collect_list(F.when(own, F.col("pos"))).alias("places"), F.collect_list(F.coalesce("local", "more")).alias("packed")), free=True)
     todo = rows.join(by_doc, ["doc", "tk"]).mapInArrow(_windows(window, anchor), _ROWS)
-    todo = todo.withColumn("ref", F.min("doc").over(met)).where("ref < doc OR local IS NOT NULL")
+    todo = todo.withColumn("ref", F.min(F.struct("doc", "pos")).over(met)).where("ref.doc < doc OR local IS NOT NULL")
     other = F.when(F.col("more").isNotNull(), F.struct("more", "ref"))
     return todo.groupBy("doc", "tk").agg(F.collect_list(F.when(own, F.col("pos"))).alias("pos"), F.collect_list(F.when(own, F.col("ref"))).alias("ref"), F.collect_list(other).alias("more"), F.collect_list("local").alias("runs"))
 
 
-def factors(pos: np.ndarray, ref: np.ndarray, window: int) -> list[tuple[int, int, int]]:
-    """The greedy factors (start, length, document) of repeated windows in the order of their places."""
-    if not len(pos):
-        return []
-    edge = np.flatnonzero(np.r_[True, (pos[1:] != pos[:-1] + 1) | (ref[1:] != ref[:-1])])
-    last = np.r_[edge[1:], len(pos)] - 1
-    return [(int(pos[a]), int(pos[b] - pos[a] + window), int(ref[a])) for a, b in zip(edge, last, strict=True)]
+def factors(pos: np.ndarray, ref: np.ndarray, at: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
+    """The greedy factors (start, length, document, place in it) of repeated windows in the order of their places."""
+    return [(start, n + window - 1, doc, place) for start, n, doc, place in as_runs(pos, ref, at).tolist()] if len(pos) else []
 
 
 def _as_spans(window: int):
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("len", pa.int32()), ("ref", pa.int64())]))
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("len", pa.int32()), ("ref", pa.int64()), ("ref_start", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            flat_pos, flat_ref = batch["pos"].flatten().to_numpy().astype(np.int64), batch["ref"].flatten().to_numpy()
+            flat_pos, refs = batch["pos"].flatten().to_numpy().astype(np.int64), batch["ref"].flatten()
+            flat_ref, flat_at = refs.field("doc").to_numpy(), refs.field("pos").to_numpy().astype(np.int64)
             edge = np.r_[0, np.cumsum(batch["pos"].value_lengths())]
             for i, (more, runs) in enumerate(zip(*(batch[c].to_pylist() for c in ("more", "runs")), strict=True)):
-                pos, ref = [flat_pos[edge[i] : edge[i + 1]]], [flat_ref[edge[i] : edge[i + 1]]]
+                here = slice(edge[i], edge[i + 1])
+                parts = [(flat_pos[here], flat_ref[here], flat_at[here])]
                 for x in more:
-                    pos.append(np.frombuffer(x["more"], np.int32).astype(np.int64))
-                    ref.append(np.full(len(pos[-1]), x["ref"]))
-                for x in runs:
-                    p, r = from_runs(np.frombuffer(x, np.int64).reshape(-1, 3))
-                    pos.append(p)
-                    ref.append(r)
-                p, r = np.concatenate(pos), np.concatenate(ref)
-                by = np.lexsort((r, p))
-                p, r = p[by], r[by]
-                once = np.r_[True, p[1:] != p[:-1]]
-                out.append([{"start": a, "len": n, "ref": x} for a, n, x in factors(p[once], r[once], window)])
+                    p = np.frombuffer(x["more"], np.int32).astype(np.int64)
+                    parts.append((p, np.full(len(p), x["ref"]["doc"]), np.full(len(p), x["ref"]["pos"])))
+                parts += [from_runs(np.frombuffer(x, np.int64).reshape(-1, 4)) for x in runs]
+                p, r, q = (np.concatenate(x) for x in zip(*parts, strict=True))
+                by = np.lexsort((q, r, p))
+                by = by[np.r_[True, p[by][1:] != p[by][:-1]]]
+                out.append([{"start": a, "len": n, "ref": x, "ref_start": y} for a, n, x, y in factors(p[by], r[by], q[by], window)])
             yield pa.record_batch([batch["doc"], batch["tk"], pa.array(out, kind)], names=["doc", "tk", "spans"])
+        K.trim()
 
     return run
 
 
 def duplicate_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc, tk, spans): for each document with any, its factors as (start, len) in words, and the earlier document."""
+    """(doc, tk, spans): for each document with any, its factors as (start, len) in words, and
+    where they stand: the earlier document and the word there."""
     found = repeated_windows(docs, text, doc_id, window, anchor)
-    return found.mapInArrow(_as_spans(window), "doc long, tk short, spans array<struct<start:int,len:int,ref:long>>")
+    return found.mapInArrow(_as_spans(window), "doc long, tk long, spans array<struct<start:int,len:int,ref:long,ref_start:int>>")
 
 
 def kept_bytes(w: K.Words, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -243,8 +250,7 @@ def kept_bytes(w: K.Words, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     mask = np.cumsum(change[:n], dtype=np.int8).view(bool) if n else np.zeros(0, bool)
     data = w.data
     after = w.end[keep]
-    after = after[after < n]
-    after = after[K._BLANK[data[after]]]
+    after = after[after < w.offsets[w.doc[keep] + 1]]  # the byte after a text's last word is another text's
     data = data.copy()
     data[after] = 32
     mask[after] = True

@@ -395,8 +395,34 @@ def test_substring_dedup(spark, tmp_path, per_batch):
 
 
 def test_factors():
-    pos, ref = np.array([0, 1, 2, 10, 11, 12]), np.array([7, 7, 7, 7, 7, 5])
-    assert substring_dedup.factors(pos, ref, 13) == [(0, 15, 7), (10, 14, 7), (12, 13, 5)]
+    pos, ref, at = np.array([0, 1, 2, 10, 11, 12, 13]), np.array([7, 7, 7, 7, 7, 5, 5]), np.array([4, 5, 6, 0, 1, 2, 9])
+    assert substring_dedup.factors(pos, ref, at, 13) == [(0, 15, 7, 4), (10, 14, 7, 0), (12, 13, 5, 2), (13, 13, 5, 9)]
+
+
+def test_factors_stand_in_their_documents(spark):
+    rng = random.Random(8)
+    rows = [(0, "x1 x2 x3 x4 x5 x6 x7 x8 x9 x10 x11 x12 x13 y x2 x3 x4 x5 x6 x7 x8 x9 x10 x11 x12 x13 x14"), (1, " ".join(f"x{i}" for i in range(1, 15)))]
+    cuts = lambda: [(a, a + rng.randrange(5, 30)) for a in rng.choices(range(60), k=4)]
+    rows += [(i, " ".join(f"p{j}" for a, b in cuts() for j in range(a, b))) for i in range(2, 60)]
+    text = {d: words(t) for d, t in rows}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = substring_dedup.duplicate_spans(clashing(df)).collect()
+    assert {(s.start, s.len, s.ref, s.ref_start) for r in found if r.doc == 1 for s in r.spans} == {(0, 13, 0, 0), (1, 13, 0, 14)}
+    for r in found:
+        for s in r.spans:
+            assert s.ref < r.doc and text[r.doc][s.start : s.start + s.len] == text[s.ref][s.ref_start : s.ref_start + s.len]
+
+
+def test_many_documents_of_equal_and_null_ids(spark, tmp_path):
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(1, passage)]
+    for i in range(3000):
+        for d in (None, 7):
+            own = " ".join(f"{'n' if d else 'm'}{i}w{j}" for j in range(i % 11))
+            rows.append((d, f"{own} {passage if i % 3 else 'nothing'} {i}"))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(6).write.parquet(str(tmp_path / "documents.parquet"))
+    got = substring_dedup.query(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == remove_windows(rows)
 
 
 # -- pipeline
