@@ -41,9 +41,9 @@ CACHE = 200_000
 #: Pairs of tokens whose verdict a worker remembers.
 PAIRS = 500_000
 #: Bytes of text that are encoded together.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Bytes of ids and decoded texts that are handed on together.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 #: Symbols up to which pre-tokens are proposed and merged as arrays.
 SHORT = 48
 _NONE = 1 << 60
@@ -510,6 +510,7 @@ def _encoder(path: str, column: int, make: Callable[[bytes, str], tuple], names:
 def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None, cache: int = CACHE) -> DataFrame:
     """(doc_id, ids array<int>, decoded string). cache: distinct words that a worker remembers; fewer cost time, not
     results, and leave more memory to others."""
+    C.small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
     make = lambda ids, decoded: (np.frombuffer(ids, "<i4"), decoded)
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -522,6 +523,7 @@ def _digest(ids: bytes, decoded: str) -> tuple[int, str, str]:
 
 def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode(), reduced where it is made."""
+    C.small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
     names = ["n_tokens", "ids_sha256", "decoded_sha256"]
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -21,6 +21,9 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Files of a table, for each core.
 FILES = 2
 
+#: Bytes of an Arrow batch.
+BATCH = 4 << 20
+
 _written: dict[str, SparkSession] = {}
 
 
@@ -75,6 +78,13 @@ def release() -> None:
 atexit.register(release)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand rows to Python about BATCH bytes at a time, where the session doesn't say otherwise: ten thousand texts, the
+    default, are a batch in the JVM, one in Python and what is made of it, for each core."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

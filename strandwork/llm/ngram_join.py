@@ -217,6 +217,7 @@ def _open_groups(members: DataFrame) -> DataFrame:
 def links_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ngram: int = NGRAM, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, nodes, links): (doc, tk, node); (node, doc, tk, size, n_copies, comp); (a, b), linked nodes, enough
     of them to span each class."""
+    C.small_batches(docs.sparkSession)
     rows = _documents(docs, text, doc_id)
     used = depths(threshold)
     most, most_wide = may_differ(threshold)
