@@ -1,7 +1,8 @@
 """Compaction: rounds that delete an independent set of nodes and hand what they held to their neighbors.
 
 A round is a chain of joins on the node key. Wires are a function of a node's extensions, so only those of the nodes
-that go are made in a round. State is cut (written and read back) once a round.
+that go are made in a round. State is cut (written and read back) once a round, and that of the round before is deleted;
+partial contigs are added to one table. So neither plans nor disk grow with the number of rounds.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import cut
+from .. import tables
 from .graph import neighbor
 from .wiring import wires
 
@@ -73,17 +74,16 @@ def apply_transfers(ext: DataFrame, chosen: DataFrame, messages: DataFrame) -> D
 def compact(ext: DataFrame, k: int, node_threshold: int, max_rounds: int | None = None) -> tuple[DataFrame, DataFrame, list[tuple[int, int, int]]]:
     """(node_ext, partial contigs, (nodes, chosen, messages) of each round): rounds until there are at most
     node_threshold nodes. The driver holds three numbers a round."""
-    ext, rounds, contigs = cut(ext), [], []
+    spark, rounds = ext.sparkSession, []
+    ext, found = tables.cut(ext), tables.new_path(ext.sparkSession)
     n = ext.select("node").distinct().count()
     while n > node_threshold and (max_rounds is None or len(rounds) < max_rounds):
-        chosen = cut(independent_set(ext, k))
-        paths = cut(paths_through(ext, chosen, k))
-        messages = cut(transfers(paths))
-        contigs.append(partial_contigs(paths))
-        ext = cut(apply_transfers(ext, chosen, messages))
+        chosen = tables.cut(independent_set(ext, k))
+        paths = tables.cut(paths_through(ext, chosen, k))
+        messages = tables.cut(transfers(paths))
+        tables.write(partial_contigs(paths), found)
+        before, ext = ext, tables.cut(apply_transfers(ext, chosen, messages))
         rounds.append((n, chosen.count(), messages.count()))
         n -= rounds[-1][1]
-    done = contigs[0] if contigs else ext.limit(0).select(F.col("node").alias("contig"))
-    for c in contigs[1:]:
-        done = done.unionByName(c)
-    return ext, done, rounds
+        tables.drop(before, chosen, paths, messages)
+    return ext, spark.read.schema("contig string").parquet(found) if rounds else ext.limit(0).select(F.col("node").alias("contig")), rounds

@@ -1,7 +1,9 @@
 """K-mers: windows, counts, histogram, cutoff, minimizers.
 
 A window is a slice of the sequence as bytes, which costs its own length only; slicing strings would count code points
-from the beginning for each. Windows are made in generated code and first aggregated where they are made.
+from the beginning for each. Windows are made in generated code and aggregated where they are made. For longer k, reads
+travel as super-k-mers, dealt by their minimizer, and are only cut into windows where these are counted: a base is sent
+about four times, not k times, and no second exchange is needed.
 """
 
 from __future__ import annotations
@@ -10,12 +12,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import encoding as E
+from ..functions.superkmers import super_kmers
+
+#: From this k on, counts() deals super-k-mers by their minimizers of MINIMIZER bases; shorter k-mers are so few that
+#: aggregating before the exchange leaves little to send.
+LEAST = 20
+MINIMIZER = 12
 
 
 def windows(reads: DataFrame, k: int, on_invalid: str = "split", name: str = "kmer") -> DataFrame:
     """(read_id, pos, kmer): every window of k bases of every read, as digits. A read of k bases has one."""
-    seq = {"split": F.col("seq"), "error": E.strict("seq"), "as_A": E.lenient("seq")}[on_invalid]
-    digits = reads.select("read_id", E.encode(seq).alias("_seq")).where(F.length("_seq") >= k)
+    digits = _clean(reads, k, on_invalid)
     # What a read costs is paid before its windows are made, in a projection of its own.
     digits = digits.select("read_id", F.col("_seq").cast("binary").alias("_bytes"), F.col("_seq").rlike("[^0-3]").alias("_mixed"), F.length("_seq").alias("_n"))
     placed = digits.select("read_id", "_bytes", "_mixed", F.explode(F.sequence(F.lit(0), F.col("_n") - k)).alias("pos"))
@@ -25,28 +32,62 @@ def windows(reads: DataFrame, k: int, on_invalid: str = "split", name: str = "km
     return out.drop("_mixed")
 
 
-def _packed(reads: DataFrame, k: int, on_invalid: str) -> DataFrame:
-    """(packed): windows() for an even k, two bases to a byte, in the same order. A read is packed twice, from its
-    first and from its second base; a window is then a slice of bytes of one of the two."""
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores: a file of few row groups would be mapped by few tasks."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def _clean(reads: DataFrame, k: int, on_invalid: str) -> DataFrame:
+    """(read_id, _seq): reads of k bases or more, as digits."""
     seq = {"split": F.col("seq"), "error": E.strict("seq"), "as_A": E.lenient("seq")}[on_invalid]
-    digits = reads.select("read_id", E.encode(seq).alias("_seq")).where(F.length("_seq") >= k)
-    digits = digits.withColumn("_mixed", F.col("_seq").rlike("[^0-3]"))
+    return reads.select("read_id", E.encode(seq).alias("_seq")).where(F.length("_seq") >= k)
+
+
+def _packed(digits: DataFrame, k: int, *kept: str) -> DataFrame:
+    """(packed, *kept): every window of an even k of sequences of digits only, two bases to a byte, in the same order. A
+    sequence is packed twice, from its first and from its second base; a window is then a slice of bytes of one of the
+    two."""
     even = lambda start: F.unhex(F.substring("_seq", F.lit(start), F.call_function("div", F.length("_seq") - (start - 1), F.lit(2)).cast("int") * 2))
-    clean = digits.where("NOT _mixed").select(even(1).alias("_even"), even(2).alias("_odd"), F.length("_seq").alias("_n"))
-    placed = clean.select("_even", "_odd", F.explode(F.sequence(F.lit(0), F.col("_n") - k)).alias("_pos"))
+    halves = digits.select(even(1).alias("_even"), even(2).alias("_odd"), F.length("_seq").alias("_n"), *kept)
+    placed = halves.select("_even", "_odd", F.explode(F.sequence(F.lit(0), F.col("_n") - k)).alias("_pos"), *kept)
     half = F.call_function("shiftright", "_pos", F.lit(1)) + 1
-    out = placed.select(F.substring(F.when(F.col("_pos").bitwiseAND(1) == 0, F.col("_even")).otherwise(F.col("_odd")), half, F.lit(k // 2)).alias("packed"))
-    if on_invalid != "split":
-        return out
-    rest = digits.where("_mixed").select("read_id", E.decode("_seq").alias("seq"))
-    return out.unionByName(windows(rest, k).select(F.unhex("kmer").alias("packed")))
+    return placed.select(F.substring(F.when(F.col("_pos").bitwiseAND(1) == 0, F.col("_even")).otherwise(F.col("_odd")), half, F.lit(k // 2)).alias("packed"), *kept)
 
 
-def counts(reads: DataFrame, k: int, on_invalid: str = "split", name: str = "kmer") -> DataFrame:
-    """(kmer, cnt): exact counts. For an even k, keys are packed while they are shuffled and aggregated."""
+def _few(reads: DataFrame, k: int, on_invalid: str, name: str) -> DataFrame:
+    """counts() of short k-mers: windows, aggregated before and after an exchange on the k-mer."""
     if k % 2:
         return windows(reads, k, on_invalid, name).groupBy(name).agg(F.count(F.lit(1)).alias("cnt"))
-    return _packed(reads, k, on_invalid).groupBy("packed").agg(F.count(F.lit(1)).alias("cnt")).select(F.hex("packed").alias(name), "cnt")
+    digits = _clean(reads, k, on_invalid).withColumn("_mixed", F.col("_seq").rlike("[^0-3]"))
+    out = _packed(digits.where("NOT _mixed"), k)
+    if on_invalid == "split":
+        rest = digits.where("_mixed").select("read_id", E.decode("_seq").alias("seq"))
+        out = out.unionByName(windows(rest, k).select(F.unhex("kmer").alias("packed")))
+    return out.groupBy("packed").agg(F.count(F.lit(1)).alias("cnt")).select(F.hex("packed").alias(name), "cnt")
+
+
+def _by_minimizer(reads: DataFrame, k: int, on_invalid: str, name: str) -> DataFrame:
+    """counts() of longer k-mers. Super-k-mers meet by their bucket; grouping by (bucket, k-mer) asks for no other
+    exchange, for all of a bucket is in one partition."""
+    cut = _clean(reads, k, on_invalid).select("_seq").mapInArrow(super_kmers(k, MINIMIZER), "bucket long, seq string, n long")
+    dealt = cut.repartition(F.col("bucket")).withColumnRenamed("seq", "_seq")
+    if k % 2:
+        placed = dealt.select("bucket", "n", F.col("_seq").cast("binary").alias("_b"), F.explode(F.sequence(F.lit(0), F.length("_seq") - k)).alias("_pos"))
+        out = placed.select("bucket", "n", F.substring("_b", F.col("_pos") + 1, F.lit(k)).alias("packed"))
+        text = F.col("packed").cast("string")
+    else:
+        out, text = _packed(dealt, k, "bucket", "n"), F.hex("packed")
+    return out.groupBy("bucket", "packed").agg(F.sum("n").alias("cnt")).select(text.alias(name), "cnt")
+
+
+def counts(reads: DataFrame, k: int, on_invalid: str = "split", name: str = "kmer") -> DataFrame:
+    """(kmer, cnt): exact counts. K-mers are packed, two bases to a byte (for an even k), while they are aggregated."""
+    if k < LEAST or reads.isStreaming:
+        return _few(spread(reads), k, on_invalid, name)
+    return _by_minimizer(spread(reads), k, on_invalid, name)
 
 
 def totals(kmer_counts: DataFrame) -> DataFrame:

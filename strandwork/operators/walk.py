@@ -1,17 +1,24 @@
 """Walks: from terminal prefixes along wires to terminal suffixes. All walks take a step at once; a step is one join
-with a table of edges, in which the lookup of the next node's prefix is already made."""
+with a table of edges, in which the lookup of the next node's prefix is already made.
+
+A walk carries numbers, not its text. The visits it began with are an interval; each step keeps a part of it, and where
+a walk branches the parts don't overlap. So a step leaves (seed, step, part, text of the suffix), and the contig of a
+walk that ends is made of the steps whose parts hold its own, joined once at the end.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import cut
+from .. import tables
 from .graph import begin_nodes, neighbor
 from .wiring import wires
 
 #: Longer contigs are an error.
 MOST = 500_000
+#: Edges of up to so many bytes are sent to all executors, larger tables are dealt by their node.
+BROADCAST = 32 << 20
 
 
 def edges(ext: DataFrame, k: int) -> DataFrame:
@@ -36,27 +43,49 @@ def taken(off: Column, freq: Column, start: Column, size: Column, mode: str) ->
     return (start + size > off) & ((start <= off) | (2 * (start - off) <= freq))
 
 
+def _everywhere(table: DataFrame, k: int) -> DataFrame:
+    """table, to be broadcast if its measured size allows it."""
+    row = table.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("s_ext")), F.lit(0)).alias("text")).first()
+    return F.broadcast(table) if row["n"] * (2 * k + 100) + row["text"] <= BROADCAST else table
+
+
 def walk(ext: DataFrame, k: int, mode: str = "reference", keep_every: int = 8) -> DataFrame:
     """(contig): a row for each walk that ends. What is under way is cut every ``keep_every`` steps."""
-    table = cut(edges(ext, k))
-    begin = begin_nodes(ext).select("node", F.col("ext_id").alias("p_id"), F.lit(0).cast("long").alias("off"), F.col("visit").alias("freq"), F.concat("ext", "node").alias("contig"), F.lit(False).alias("done"))
-    now, ended = cut(begin), []
+    spark = ext.sparkSession
+    edge_table = tables.cut(edges(ext, k))
+    ways = _everywhere(edge_table.withColumnsRenamed({"done": "e_done", "node": "e_node", "p_id": "e_p"}), k)
+    seed = F.struct("node", "ext_id").alias("seed")
+    zero = F.lit(0).cast("long")
+    begin = begin_nodes(ext).select(
+        seed, F.lit(0).alias("step"), zero.alias("lo"), F.col("visit").alias("freq"), F.col("ext_id").alias("p_id"), "node", zero.alias("off"), F.concat("ext", "node").alias("text"), F.lit(False).alias("done")
+    )
+    steps = tables.new_path(spark)
+    now = tables.cut(begin)
+    tables.write(now.select("seed", "step", "lo", "freq", "text", "done"), steps)
+    now = now.withColumn("parts", F.array(F.struct("step", "lo", "freq", "text", "done"))).drop("text")
     while now.limit(1).count():
-        reached = now
+        reached = now.withColumn("parts", F.slice("parts", 1, 0))
         for _ in range(keep_every):  # those that ended stay as they are
-            ways = table.withColumnsRenamed({"done": "e_done", "node": "e_node", "p_id": "e_p"})
             on = (F.col("node") == F.col("e_node")) & (F.col("p_id") == F.col("e_p")) & ~F.col("done")
-            stepped = reached.join(ways, on & taken(F.col("off"), F.col("freq"), F.col("start"), F.col("size"), mode))
+            hit = reached.join(ways, on & taken(F.col("off"), F.col("freq"), F.col("start"), F.col("size"), mode), "left").where("done OR e_node IS NOT NULL")
             at = F.greatest("off", "start")
-            step = stepped.select(
-                F.col("next_node").alias("node"), F.col("next_p").alias("p_id"), (F.col("off_s") + at - F.col("start")).alias("off"),
-                (F.least(F.col("off") + F.col("freq"), F.col("start") + F.col("size")) - at).alias("freq"), F.concat("contig", "s_ext").alias("contig"), F.col("e_done").alias("done"),
-            )
-            reached = step.unionByName(reached.where("done"))
-        reached = cut(reached)
-        ended.append(reached.where("done").select("contig"))
-        now = reached.where("NOT done").withColumn("contig", F.when(F.length("contig") < MOST, F.col("contig")).otherwise(F.raise_error(F.lit("a contig grew too long")).cast("string")))
-    out = ended[0] if ended else now.select("contig")
-    for e in ended[1:]:
-        out = out.unionByName(e)
-    return out
+            step, lo, freq = F.col("step") + 1, F.col("lo") + at - F.col("off"), F.least(F.col("off") + F.col("freq"), F.col("start") + F.col("size")) - at
+            part = F.struct(step.alias("step"), lo.alias("lo"), freq.alias("freq"), F.col("s_ext").alias("text"), F.col("e_done").alias("done"))
+            new = {"step": step, "lo": lo, "freq": freq, "p_id": F.col("next_p"), "node": F.col("next_node"), "off": F.col("off_s") + at - F.col("start"), "done": F.col("e_done"), "parts": F.concat("parts", F.array(part))}
+            reached = hit.select("seed", *[F.when(F.col("done"), F.col(c)).otherwise(x).alias(c) for c, x in new.items()])
+        reached = tables.cut(reached)
+        # What several branches share, each of them has.
+        tables.write(reached.select("seed", F.explode("parts").alias("p")).select("seed", "p.*").dropDuplicates(["seed", "step", "lo"]), steps)
+        tables.drop(now)
+        now = reached.where("NOT done")
+    tables.drop(now, edge_table)
+    return contigs(spark.read.schema("seed struct<node:string,ext_id:int>, step int, lo long, freq long, text string, done boolean").parquet(steps))
+
+
+def contigs(steps: DataFrame) -> DataFrame:
+    """(contig) of the walks that ended: the texts of the steps whose part of the visits holds theirs, in order."""
+    ends = steps.where("done").select(F.col("seed").alias("_seed"), F.col("lo").alias("_lo"), F.col("step").alias("_last"))
+    held = steps.join(ends, (F.col("seed") == F.col("_seed")) & (F.col("lo") <= F.col("_lo")) & (F.col("_lo") < F.col("lo") + F.col("freq")) & (F.col("step") <= F.col("_last")))
+    walked = held.groupBy("_seed", "_lo", "_last").agg(F.sum(F.length("text")).alias("n"), F.sort_array(F.collect_list(F.struct("step", "text"))).alias("parts"))
+    text = F.array_join(F.transform("parts", lambda p: p["text"]), "")
+    return walked.select(F.when(F.col("n") < MOST, text).otherwise(F.raise_error(F.lit("a contig grew too long")).cast("string")).alias("contig"))

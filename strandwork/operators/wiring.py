@@ -1,7 +1,9 @@
 """Wiring: which prefix visits of a node go on to which suffix.
 
 Both sides, ordered by visits, lie as intervals on one line of the same length; a wire is an overlap of two. So: a
-running sum on each side, and a join on the node with the overlap as the rest of its condition.
+running sum on each side, then one pass over the points of a node where an interval of either side begins: from each to
+the next point the same prefix and the same suffix go on, and these are the last ones that began. That is linear in a
+node's extensions, however many it has.
 """
 
 from __future__ import annotations
@@ -19,12 +21,15 @@ def intervals(ext: DataFrame) -> DataFrame:
 
 def wires(ext: DataFrame) -> DataFrame:
     """(node, p_id, s_id, off_p, off_s, cnt)."""
-    placed = intervals(ext)
-    p = placed.where("side = 'P'").select("node", F.col("ext_id").alias("p_id"), F.col("lo").alias("p_lo"), F.col("hi").alias("p_hi"))
-    s = placed.where("side = 'S'").select(F.col("node").alias("s_node"), F.col("ext_id").alias("s_id"), F.col("lo").alias("s_lo"), F.col("hi").alias("s_hi"))
-    both = p.join(s, (F.col("node") == F.col("s_node")) & (F.col("p_lo") < F.col("s_hi")) & (F.col("s_lo") < F.col("p_hi")))
-    start = F.greatest("p_lo", "s_lo")
-    return both.select("node", "p_id", "s_id", (start - F.col("p_lo")).alias("off_p"), (start - F.col("s_lo")).alias("off_s"), (F.least("p_hi", "s_hi") - start).alias("cnt"))
+    at = lambda side, name: F.max(F.when(F.col("side") == side, F.struct("ext_id", "lo", "hi"))).alias(name)
+    points = intervals(ext).groupBy("node", "lo").agg(at("P", "_p"), at("S", "_s"))
+    line = Window.partitionBy("node").orderBy("lo")
+    upto = line.rowsBetween(Window.unboundedPreceding, 0)
+    both = points.select("node", "lo", F.last("_p", True).over(upto).alias("p"), F.last("_s", True).over(upto).alias("s"), F.lead("lo").over(line).alias("_next"))
+    end = F.least("p.hi", "s.hi", "_next")  # the last point has no next
+    return both.where(end > F.col("lo")).select(
+        "node", F.col("p.ext_id").alias("p_id"), F.col("s.ext_id").alias("s_id"), (F.col("lo") - F.col("p.lo")).alias("off_p"), (F.col("lo") - F.col("s.lo")).alias("off_s"), (end - F.col("lo")).alias("cnt")
+    )
 
 
 def invariants(ext: DataFrame, wired: DataFrame) -> DataFrame:

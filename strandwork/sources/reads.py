@@ -15,13 +15,19 @@ def records(spark: SparkSession, path: str, delimiter: str) -> DataFrame:
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(read_id, header, seq). A record is a header line after '>' and one sequence line, or several, which are joined.
-    read_id is a number of the record, unique within the result but not without gaps."""
-    r = records(spark, path, ">").where(F.length(F.trim("record")) > 0)
-    lines = F.split("record", "\r?\n")
+    """(read_id, header, seq). A record is a line that begins with '>', its header, and one sequence line, or several,
+    which are joined; a '>' inside a line is part of it. read_id is a number of the record, unique within the result but
+    not without gaps, and the same while files and their splits are."""
+    r = records(spark, path, "\n>").where(F.length(F.trim("record")) > 0)
+    lines = F.split(F.regexp_replace("record", "^>", ""), "\r?\n")
     return r.select(F.monotonically_increasing_id().alias("read_id"), lines[0].alias("header"), F.array_join(F.slice(lines, 2, F.size(lines)), "").alias("seq"))
 
 
+def fasta_lines(reads: DataFrame) -> DataFrame:
+    """(value): the FASTA records of reads."""
+    return reads.select(F.concat(F.lit(">"), "header", F.lit("\n"), "seq").alias("value"))
+
+
 def from_documents(docs: DataFrame) -> DataFrame:
     """(read_id, header, seq): each document's letters as bases."""
     return docs.select(F.col("doc_id").alias("read_id"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("header"), E.letters_to_bases(F.coalesce("text", F.lit(""))).alias("seq"))
