@@ -39,6 +39,8 @@ from . import kernels as K
 WINDOW = 13
 ANCHOR = 5
 _LAST = (1 << 63) - 1
+#: Ids that several rows have are broadcast up to this many (8 bytes each); beyond it they are joined by a shuffle.
+BROADCAST_IDS = 200_000
 _MOST = np.uint64((1 << 64) - 1)
 
 #: key: what must meet; doc, tk: the document (tk, the hash of its text, tells apart rows with equal ids); pos: the word; more: other places
@@ -61,21 +63,27 @@ def anchor_places(w: K.Words, window: int, anchor: int) -> tuple[np.ndarray, np.
     return x, full, least, np.flatnonzero(most == x)
 
 
+#: A run, packed: start, number, place in the document, document.
+_RUN = np.dtype([("start", "<i4"), ("n", "<i4"), ("at", "<i4"), ("ref", "<i8")])
+
+
 def _edges(pos: np.ndarray, ref: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Where a run begins: places that follow each other, as their places in the same document do; pos rises."""
     return np.flatnonzero(np.r_[True, (pos[1:] != pos[:-1] + 1) | (ref[1:] != ref[:-1]) | (at[1:] != at[:-1] + 1)])
 
 
 def as_runs(pos: np.ndarray, ref: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(start, number, document, place in it) of runs."""
+    """The runs of places."""
     edge = _edges(pos, ref, at)
-    return np.stack([pos[edge], np.diff(np.r_[edge, len(pos)]), ref[edge], at[edge]], 1).astype(np.int64)
+    runs = np.empty(len(edge), _RUN)
+    runs["start"], runs["n"], runs["at"], runs["ref"] = pos[edge], np.diff(np.r_[edge, len(pos)]), at[edge], ref[edge]
+    return runs
 
 
 def from_runs(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = runs[:, 1]
+    n = runs["n"].astype(np.int64)
     inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return np.repeat(runs[:, 0], n) + inner, np.repeat(runs[:, 2], n), np.repeat(runs[:, 3], n) + inner
+    return np.repeat(runs["start"], n) + inner, np.repeat(runs["ref"], n), np.repeat(runs["at"], n) + inner
 
 
 def _split(key: np.ndarray, doc: np.ndarray, tk: np.ndarray, pos: np.ndarray, refs: bool) -> pa.RecordBatch:
@@ -182,15 +190,20 @@ def _windows(window: int, anchor: int):
     return run
 
 
-def _documents(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("tk"), F.col(text).alias("text"))
+def documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc, tk, text): tk is 0 where doc_id is unique, as it mostly is (then it costs nothing to carry along), else the
+    64-bit hash of the text."""
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text).alias("text"))
+    same = C.cut(rows.groupBy("doc").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("doc").alias("_same")))
+    same = F.broadcast(same) if same.count() <= BROADCAST_IDS else same
+    tk = F.when(F.col("_same").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("text"))
+    return rows.join(same, F.col("doc") == F.col("_same"), "left").select("doc", tk.alias("tk"), "text")
 
 
-def repeated_windows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc, tk, pos, ref, more, runs): of each document with any, its windows that also start in a document before
-    it: places and, in the same order, refs; other places, packed, with ref; and runs decided in a batch. ref: the
-    earliest document that was seen with the window, and its first place there."""
-    rows = _documents(docs, text, doc_id)
+def repeated_windows(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """(doc, tk, pos, ref, more, runs) of documents(): of each document with any, its windows that also start in a
+    document before it: places and, in the same order, refs; other places, packed, with ref; and runs decided in a batch.
+    ref: the earliest document that was seen with the window, and its first place there."""
     sent = rows.mapInArrow(_anchors(window, anchor), _ROWS)
     met = Window.partitionBy("key")
     sent = sent.withColumn("shared", F.min("doc").over(met) < F.max("doc").over(met)).where("shared OR local IS NOT NULL")
@@ -204,7 +217,7 @@ def repeated_windows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
 
 def factors(pos: np.ndarray, ref: np.ndarray, at: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
     """The greedy factors (start, length, document, place in it) of repeated windows in the order of their places."""
-    return [(start, n + window - 1, doc, place) for start, n, doc, place in as_runs(pos, ref, at).tolist()] if len(pos) else []
+    return [(start, n + window - 1, doc, place) for start, n, place, doc in as_runs(pos, ref, at).tolist()] if len(pos) else []
 
 
 def _as_spans(window: int):
@@ -222,7 +235,7 @@ def _as_spans(window: int):
                 for x in more:
                     p = np.frombuffer(x["more"], np.int32).astype(np.int64)
                     parts.append((p, np.full(len(p), x["ref"]["doc"]), np.full(len(p), x["ref"]["pos"])))
-                parts += [from_runs(np.frombuffer(x, np.int64).reshape(-1, 4)) for x in runs]
+                parts += [from_runs(np.frombuffer(x, _RUN)) for x in runs]
                 p, r, q = (np.concatenate(x) for x in zip(*parts, strict=True))
                 by = np.lexsort((q, r, p))
                 by = by[np.r_[True, p[by][1:] != p[by][:-1]]]
@@ -233,11 +246,14 @@ def _as_spans(window: int):
     return run
 
 
+def _spans(rows: DataFrame, window: int, anchor: int) -> DataFrame:
+    return repeated_windows(rows, window, anchor).mapInArrow(_as_spans(window), "doc long, tk long, spans array<struct<start:int,len:int,ref:long,ref_start:int>>")
+
+
 def duplicate_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc, tk, spans): for each document with any, its factors as (start, len) in words, and
-    where they stand: the earlier document and the word there."""
-    found = repeated_windows(docs, text, doc_id, window, anchor)
-    return found.mapInArrow(_as_spans(window), "doc long, tk long, spans array<struct<start:int,len:int,ref:long,ref_start:int>>")
+    """(doc, tk, spans): for each document with any, its factors as (start, len) in words, and where they stand: the
+    earlier document and the word there."""
+    return _spans(documents(docs, text, doc_id), window, anchor)
 
 
 def kept_bytes(w: K.Words, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -288,9 +304,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
-    spans = C.cut(duplicate_spans(docs), free=True).withColumnsRenamed({"doc": "_doc", "tk": "_tk"})
-    rows = _documents(docs, "text", "doc_id")
+    rows = documents(C.table(spark, sf_dir, "documents"))
+    spans = C.cut(_spans(rows, WINDOW, ANCHOR), free=True).withColumnsRenamed({"doc": "_doc", "tk": "_tk"})
     both = rows.join(spans, (rows["doc"] == spans["_doc"]) & (rows["tk"] == spans["_tk"]), "left")
     both = both.select(F.when(F.col("doc") != _LAST, F.col("doc")).alias("doc_id"), "text", "spans")
     return both.mapInArrow(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
