@@ -7,6 +7,8 @@ partial contigs are added to one table. So neither plans nor disk grow with the
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,13 +73,14 @@ def apply_transfers(ext: DataFrame, chosen: DataFrame, messages: DataFrame) -> D
     return every.withColumn("ext_id", F.row_number().over(Window.partitionBy("node", "side").orderBy("terminal", "ext", F.col("visit").desc(), F.col("cnt").desc())) - 1)
 
 
-def compact(ext: DataFrame, k: int, node_threshold: int, max_rounds: int | None = None) -> tuple[DataFrame, DataFrame, list[tuple[int, int, int]]]:
+def compact(ext: DataFrame, k: int, node_threshold: int, max_rounds: int | None = None, seconds: list[float] | None = None) -> tuple[DataFrame, DataFrame, list[tuple[int, int, int]]]:
     """(node_ext, partial contigs, (nodes, chosen, messages) of each round): rounds until there are at most
-    node_threshold nodes. The driver holds three numbers a round."""
+    node_threshold nodes. The driver holds three numbers a round; seconds, if given, gets what each took."""
     spark, rounds = ext.sparkSession, []
     ext, found = tables.cut(ext), tables.new_path(ext.sparkSession)
     n = ext.select("node").distinct().count()
     while n > node_threshold and (max_rounds is None or len(rounds) < max_rounds):
+        began = time.monotonic()
         chosen = tables.cut(independent_set(ext, k))
         paths = tables.cut(paths_through(ext, chosen, k))
         messages = tables.cut(transfers(paths))
@@ -86,4 +89,6 @@ def compact(ext: DataFrame, k: int, node_threshold: int, max_rounds: int | None
         rounds.append((n, chosen.count(), messages.count()))
         n -= rounds[-1][1]
         tables.drop(before, chosen, paths, messages)
+        if seconds is not None:
+            seconds.append(time.monotonic() - began)
     return ext, spark.read.schema("contig string").parquet(found) if rounds else ext.limit(0).select(F.col("node").alias("contig")), rounds

@@ -75,3 +75,11 @@ def neighbors(ext: DataFrame, k: int) -> DataFrame:
 def begin_nodes(ext: DataFrame) -> DataFrame:
     """Where walks begin: terminal prefixes with visits."""
     return ext.where((F.col("side") == "P") & F.col("terminal") & (F.col("visit") > 0)).select("node", "ext", "ext_id", "visit")
+
+
+def dump(ext: DataFrame) -> DataFrame:
+    """(node, prefixes, suffixes): each node's extensions as text, 'ext:cnt:visit' by number, terminal ones with a '$'."""
+    one = F.concat("ext", F.when(F.col("terminal"), "$").otherwise(""), F.lit(":"), F.col("cnt").cast("string"), F.lit(":"), F.col("visit").cast("string"))
+    rows = ext.select("node", "side", F.struct("ext_id", one.alias("text")).alias("e"))
+    of = lambda side: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("side") == side, F.col("e")))), lambda e: e["text"]), ",")
+    return rows.groupBy("node").agg(of("P").alias("prefixes"), of("S").alias("suffixes"))

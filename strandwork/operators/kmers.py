@@ -33,8 +33,9 @@ def windows(reads: DataFrame, k: int, on_invalid: str = "split", name: str = "km
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df in at least as many partitions as there are cores: a file of few row groups would be mapped by few tasks."""
-    if df.isStreaming:
+    """df in at least as many partitions as there are cores: a file of few row groups would be mapped by few tasks. What
+    comes out of a shuffle stays as it is; to ask how many partitions that has would run it."""
+    if df.isStreaming or df._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan":
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

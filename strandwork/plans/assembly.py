@@ -15,20 +15,32 @@ from ..tables import cut
 
 @dataclass
 class Assembly:
-    """What an assembly made: counts and cutoff, the graph as built and as compacted, rounds, contigs as digits."""
+    """What an assembly made: counts and cutoff, the graph as built and as compacted, rounds and the seconds they took,
+    contigs as digits."""
 
     kmer_counts: DataFrame
     cutoff: int
     graph: DataFrame
     compacted: DataFrame
     rounds: list[tuple[int, int, int]]
+    seconds: list[float]
     contigs: DataFrame
 
     def stats(self) -> DataFrame:
-        """One row of figures."""
-        lengths = self.contigs.agg(F.count(F.lit(1)).alias("n_contigs"), F.max("len").alias("longest"))
-        nodes = graph.nodes(self.graph).agg(F.count(F.lit(1)).alias("n_nodes"))
-        return nodes.crossJoin(lengths).withColumn("cutoff", F.lit(self.cutoff)).withColumn("n_rounds", F.lit(len(self.rounds)))
+        """One row of figures: k-mers, nodes before and after, rounds, contigs by where they come from."""
+        spark = self.graph.sparkSession
+        totals = kmers.totals(self.kmer_counts).select("n_distinct", "n_total")
+        built = graph.nodes(self.graph).agg(F.count(F.lit(1)).alias("n_nodes"))
+        left = graph.nodes(self.compacted).agg(F.count(F.lit(1)).alias("n_left"))
+        of = lambda source: F.count_if(F.col("source") == source).alias(f"n_{source}")
+        lengths = self.contigs.agg(of("walk"), of("partial"), F.max("len").cast("long").alias("longest"))
+        fixed = spark.range(1).select(F.lit(self.cutoff).cast("long").alias("cutoff"), F.lit(len(self.rounds)).cast("long").alias("n_rounds"))
+        return fixed.crossJoin(totals).crossJoin(built).crossJoin(left).crossJoin(lengths)
+
+    def round_figures(self) -> DataFrame:
+        """(round, n_nodes, n_chosen, n_messages, seconds) of compaction, seconds by the clock."""
+        rows = [(i, *r, s) for i, (r, s) in enumerate(zip(self.rounds, self.seconds, strict=True), 1)]
+        return self.graph.sparkSession.createDataFrame(rows, "round int, n_nodes long, n_chosen long, n_messages long, seconds double")
 
 
 def cutoff_of(kmer_counts: DataFrame, config: AssemblyConfig) -> int:
@@ -51,7 +63,8 @@ def assemble(reads: DataFrame, config: AssemblyConfig) -> Assembly:
     if not solid.limit(1).count():
         raise ValueError(f"no k-mer occurs {least} times")
     built = cut(graph.build(solid, config.k, config.coverage))
-    compacted, partial, rounds = compaction.compact(built, config.k, config.node_threshold)
+    seconds: list[float] = []
+    compacted, partial, rounds = compaction.compact(built, config.k, config.node_threshold, seconds=seconds)
     walked = walk(compacted, config.k, config.walk_mode)
     contigs = partial.withColumn("source", F.lit("partial")).unionByName(walked.withColumn("source", F.lit("walk")))
-    return Assembly(found, least, built, compacted, rounds, contigs.select("contig", F.length("contig").alias("len"), "source"))
+    return Assembly(found, least, built, compacted, rounds, seconds, contigs.select("contig", F.length("contig").alias("len"), "source"))

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..config import AssemblyConfig
 from ..functions import encoding as E
 from ..operators import compaction, graph, kmers, sorting, walk, wiring
+from ..sources import logs
 from ..sources import reads as R
 from ..streaming.counting import DOCUMENTS, count_stream
-from ..tables import cut
+from ..tables import cut, new_path
 from . import assembly
 
 CONFIG = AssemblyConfig(coverage=10)
@@ -100,6 +101,89 @@ def _walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walk.walk(_graph(spark, sf_dir), CONFIG.k, CONFIG.walk_mode)
 
 
+def _written(spark: SparkSession, lines: DataFrame) -> str:
+    """The folder of text files that hold lines (value)."""
+    path = new_path(spark)
+    lines.write.text(path)
+    return path
+
+
+def _fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as reads, written as FASTA, read back."""
+    made = reads(spark, sf_dir).where(F.length("seq") > 0)
+    return R.fasta(spark, _written(spark, R.fasta_lines(made))).select("header", "seq")
+
+
+def _fasta_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct and total k-mers of a FASTA file."""
+    made = reads(spark, sf_dir).where(F.length("seq") > 0)
+    return kmers.totals(kmers.counts(R.fasta(spark, _written(spark, R.fasta_lines(made))), CONFIG.k))
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with a bar after each, two to a line, read back as records."""
+    names = _table(spark, sf_dir, "customer").select(F.concat("c_name", F.lit("|"), "c_mktsegment", F.lit("||")).alias("value"))
+    path = new_path(spark)
+    names.write.option("lineSep", "|").text(path)
+    return R.records(spark, path, "|")
+
+
+def _contig_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contigs of more than 33 bases, written and read back."""
+    made = _walks(spark, sf_dir).select("contig", F.length("contig").alias("len"), F.lit("walk").alias("source"))
+    path = new_path(spark)
+    R.write_contigs(made, path, min_len=33)
+    return R.fasta(spark, path).select("header", "seq")
+
+
+def _log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as an assembler prints them, of made-up runs: a file for each region, a round for each nation."""
+    n = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("r"))
+    line = lambda *parts: F.concat(*[p.cast("string") if not isinstance(p, str) else F.lit(p) for p in parts])
+    rounds = line("Itr: ", F.col("k"), ", Total number of macro_nodes across all proc's: ", 1000 - F.col("k"), " [min=1]")
+    heads = n.groupBy("r").agg(F.sum("k").alias("s")).select("r", F.lit(-1).alias("k"), line("Total number of reads: ", F.col("s"), "\n[elapsed-time-no-io]: ", F.col("r"), ".25").alias("value"))
+    return heads.unionByName(n.select("r", "k", rounds.alias("value"))).repartition(1, "r").sortWithinPartitions("r", "k")
+
+
+def _logs(spark: SparkSession, sf_dir: str, read: Callable) -> DataFrame:
+    path = new_path(spark)
+    _log_lines(spark, sf_dir).select(F.col("r").alias("run"), "value").write.partitionBy("run").text(path)
+    return read(spark, path)
+
+
+def _lmer_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each l-mer's first base as a code, the l-mer after one more base, its third base."""
+    found = _lmers(spark, sf_dir)
+    return found.select(
+        E.decode("lmer").alias("lmer"), E.base_code(E.decode(F.substring("lmer", 1, 1))).cast("int").alias("code"), E.decode(E.shifted("lmer", F.lit("3"), CONFIG.l)).alias("shifted"),
+        E.decode(E.base_at("lmer", 2)).alias("third"), E.strict(F.lower(E.decode("lmer"))).alias("strict"),
+    )
+
+
+def _lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "nation").select("n_name", E.lenient("n_name").alias("bases"), E.base_code("n_name").cast("int").alias("code"))
+
+
+def _node_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.dump(_graph(spark, sf_dir))
+
+
+def _round_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assembly.assemble(reads(spark, sf_dir), COMPACTED).round_figures().drop("seconds")
+
+
+def _partial_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _compacted(spark, sf_dir).where("source = 'partial'").select("contig")
+
+
+def _compacted_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assembly.assemble(reads(spark, sf_dir), COMPACTED).compacted
+
+
+def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assembly.assemble(reads(spark, sf_dir), COMPACTED).stats()
+
+
 def _compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bases(assembly.assemble(reads(spark, sf_dir), COMPACTED).contigs, "contig")
 
@@ -151,6 +235,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "walk_contigs": lambda s, d: _bases(_walks(s, d), "contig"),
     "contig_lengths": lambda s, d: _walks(s, d).groupBy(F.length("contig").cast("long").alias("len")).agg(F.count(F.lit(1)).alias("n")),
     "assembly_compacted": _compacted,
+    "compacted_graph": _compacted_graph,
+    "partial_contigs": _partial_contigs,
+    "round_figures": _round_figures,
+    "assembly_stats": _stats,
+    "node_dump": _node_dump,
+    "fasta_reads": _fasta,
+    "fasta_totals": _fasta_totals,
+    "delimited_records": _records,
+    "contig_records": _contig_records,
+    "log_figures": lambda s, d: _logs(s, d, logs.figures).select("round", "label", "value"),
+    "log_runs": lambda s, d: _logs(s, d, logs.runs).drop("file"),
+    "lmer_functions": _lmer_functions,
+    "lenient_bases": _lenient,
     "sorted_keys": lambda s, d: sorting.sort_integers(_table(s, d, "lineitem"), "l_partkey", remove_duplicates=True),
     "most_significant_bit": lambda s, d: sorting.most_significant_bit(_table(s, d, "orders"), "o_orderkey"),
     "byte_shuffle_load": _byte_shuffle,

@@ -17,11 +17,11 @@ LABELS = {
 
 
 def figures(spark: SparkSession, path: str) -> DataFrame:
-    """(file, round, label, value): every 'label: number' of text files; round where the label names one."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), "value")
-    found = lines.select("file", F.explode(F.regexp_extract_all("value", F.lit(r"([^:]+:\s*[-+]?\d+(?:\.\d+)?)(?![\w.])"), F.lit(1))).alias("pair"), "value")
+    """(path, file, round, label, value): every 'label: number' of text files; round where the label names one."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), "value")
+    found = lines.select("path", "file", F.explode(F.regexp_extract_all("value", F.lit(r"([^:]+:\s*[-+]?\d+(?:\.\d+)?)(?![\w.])"), F.lit(1))).alias("pair"), "value")
     found = found.select(
-        "file", F.try_element_at(F.regexp_extract_all("value", F.lit(r"(?i)itr: (\d+)"), F.lit(1)), F.lit(1)).cast("int").alias("round"),
+        "path", "file", F.try_element_at(F.regexp_extract_all("value", F.lit(r"(?i)itr: (\d+)"), F.lit(1)), F.lit(1)).cast("int").alias("round"),
         F.trim(F.regexp_replace(F.regexp_extract("pair", r"^([^:]+):", 1), r"^[\s,]*\d*[\s,]*", "")).alias("label"), F.regexp_extract("pair", r":\s*([-+]?\d+(?:\.\d+)?)$", 1).cast("double").alias("value"),
     )
     return found.where("label <> ''")
@@ -33,6 +33,6 @@ def runs(spark: SparkSession, path: str) -> DataFrame:
     named = lambda text: F.col("label").contains(text)
     one = [F.max(F.when(named(text), F.col("value"))).alias(name) for name, text in LABELS.items() if name != "nodes"]
     at = F.when(named(LABELS["nodes"]) & F.col("round").isNotNull(), F.struct("round", "value"))
-    return every.groupBy("file").agg(*one, F.min(at).alias("a"), F.max(at).alias("b")).select(
+    return every.groupBy("path", "file").agg(*one, F.min(at).alias("a"), F.max(at).alias("b")).select(
         "file", *[n for n in LABELS if n != "nodes"], F.col("a.value").alias("first_nodes"), F.col("b.value").alias("last_nodes"), F.col("b.round").alias("n_rounds")
     )

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. There is no other: what a machine of its own holds, others don't see."""
+    """The folder of spark.checkpoint.dir. Where that is unset, in one process, as in tests, one of our own; on a cluster
+    that is an error, for what one machine holds in such a folder the others don't see."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = tempfile.mkdtemp(prefix="strandwork-")
+        spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 

@@ -5,15 +5,20 @@ import sys
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from strandwork import __main__ as command
+from strandwork import tables
 from strandwork.config import AssemblyConfig
 from strandwork.functions import encoding as E
-from strandwork.operators import graph, kmers, sorting, walk, wiring
+from strandwork.functions import superkmers
+from strandwork.operators import compaction, graph, kmers, sorting, walk, wiring
 from strandwork.plans import assembly, oracle, queries
 from strandwork.sources import logs
 from strandwork.sources import reads as R
+from strandwork.streaming import counting
 from strandwork.streaming.counting import count_stream
 
 from simulator import Graph, kmer_counts
@@ -170,9 +175,9 @@ def test_self_loop(spark):
 
 
 def test_fasta(spark, tmp_path):
-    (tmp_path / "a.fa").write_text(">one x\nACGT\n>two\nAC\nGT\n>three\nTTTT\n")
+    (tmp_path / "a.fa").write_text(">one x->y\nACGT\n>two\r\nAC\r\nGT\r\n>three\nTTTT\n")
     got = R.fasta(spark, str(tmp_path / "a.fa"))
-    assert sorted((r.header, r.seq) for r in got.collect()) == [("one x", "ACGT"), ("three", "TTTT"), ("two", "ACGT")]
+    assert sorted((r.header, r.seq) for r in got.collect()) == [("one x->y", "ACGT"), ("three", "TTTT"), ("two", "ACGT")]
     assert got.select("read_id").distinct().count() == 3
     (tmp_path / "b.txt").write_text("x||yy||||z")
     assert sorted(r.record for r in R.records(spark, str(tmp_path / "b.txt"), "||").collect()) == ["x", "yy", "z"]
@@ -218,6 +223,92 @@ def test_stream_of_several_batches(spark, tmp_path):
     assert got == dict(kmer_counts([digits(b) for b in bases], 3))
 
 
+def test_folded_stream(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(counting, "FOLD", 2)
+    test_stream_of_several_batches(spark, tmp_path)
+
+
+def test_super_kmers():
+    """Every k-mer stands in one super-k-mer, dealt by its minimizer; reads of any length, cut in pieces or not."""
+    rng = random.Random(2)
+    for k, m in ((20, 12), (21, 5), (32, 12)):
+        seqs = ["".join(rng.choice("0123") for _ in range(n)) for n in (0, k - 1, k, 300, 900)] + ["0" * 70, "01230123N" + "0123" * 20]
+        made = Counter()
+        for batch in superkmers.super_kmers(k, m)(iter([pa.record_batch([pa.array([*seqs, None])], names=["_seq"])])):
+            for bucket, seq, n in zip(*(batch[c].to_pylist() for c in ("bucket", "seq", "n"))):
+                for i in range(len(seq) - k + 1):
+                    made[bucket, seq[i : i + k]] += n
+        want = Counter(w for s in seqs for i in range(len(s) - k + 1) if "N" not in (w := s[i : i + k]))
+        assert len({w for _, w in made}) == len(made) and {w: n for (_, w), n in made.items()} == want
+
+
+def test_super_kmers_of_long_reads(monkeypatch):
+    rng = random.Random(3)
+    seqs = ["".join(rng.choice("0123") for _ in range(n)) for n in (5000, 30, 700, 20)]
+    cut = lambda: Counter(seq[i : i + 20] for b in superkmers.super_kmers(20, 12)(iter([pa.record_batch([pa.array(seqs)], names=["s"])])) for seq, n in zip(b["seq"].to_pylist(), b["n"].to_pylist()) for i in range(len(seq) - 19) for _ in range(n))
+    whole = cut()
+    monkeypatch.setattr(superkmers, "CHUNK", 64)
+    assert cut() == whole
+
+
+def test_hub_is_wired_in_one_pass(spark):
+    """A node with many extensions on both sides."""
+    rng = random.Random(4)
+    rows = [("n", side, f"{side}{i}", False, 1, v, i) for side in "PS" for i, v in enumerate([3, 7] * 200 if side == "P" else [rng.randrange(1, 5) for _ in range(400)] + [3000])]
+    ext = spark.createDataFrame(rows, "node string, side string, ext string, terminal boolean, cnt long, visit long, ext_id int")
+    order = lambda side: sorted((r for r in rows if r[1] == side), key=lambda r: (-r[5], r[2]))
+    spans = lambda side: [(r[6], sum(x[5] for x in order(side)[:i]), sum(x[5] for x in order(side)[: i + 1])) for i, r in enumerate(order(side))]
+    want = {(p, s, max(a, c) - a, max(a, c) - c, min(b, d) - max(a, c)) for p, a, b in spans("P") for s, c, d in spans("S") if max(a, c) < min(b, d)}
+    got = wiring.wires(ext)
+    assert {(r.p_id, r.s_id, r.off_p, r.off_s, r.cnt) for r in got.collect()} == want
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 30], ids=["dealt", "everywhere"])
+def test_walks_with_and_without_broadcast(spark, monkeypatch, limit):
+    monkeypatch.setattr(walk, "BROADCAST", limit)
+    seqs, k = random_reads(1), 6
+    sim = Graph({m: c for m, c in kmer_counts([digits(s) for s in seqs], k).items() if c >= 2}, k, 2)
+    ext = graph.build(kmers.solid(kmers.counts(frame(spark, seqs), k), 2), k, 2)
+    assert sorted(r.contig for r in walk.walk(ext, k, "full", keep_every=3).collect()) == sorted(sim.walks("full"))
+
+
+def test_length_limit(spark, monkeypatch):
+    monkeypatch.setattr(walk, "MOST", 5)
+    ext = graph.build(kmers.counts(frame(spark, EXAMPLE), 4), 4, 1)
+    with pytest.raises(Exception, match="a contig grew too long"):
+        walk.walk(ext, 4).collect()
+
+
+def test_compaction_leaves_no_state_behind(spark):
+    folder = spark.conf.get("spark.checkpoint.dir") + "/strandwork"
+    before = set(os.listdir(folder)) if os.path.exists(folder) else set()
+    ext = graph.build(kmers.counts(frame(spark, random_reads(2)), 6), 6, 2)
+    _, _, rounds = compaction.compact(ext, 6, 4)
+    assert len(rounds) > 2 and len(set(os.listdir(folder)) - before) == 2  # the graph and the partial contigs
+
+
+def test_command(spark, tmp_path):
+    (tmp_path / "reads.fa").write_text("".join(f">r{i}\n{s}\n" for i, s in enumerate(EXAMPLE)))
+    o = command.options(["-f", str(tmp_path / "reads.fa"), "-c", "1", "-o", str(tmp_path / "out"), "-k", "4", "-l", "2", "--cutoff", "1", "-n", "2", "--min-contig", "5"])
+    command.run(spark, o)
+    assert sorted(r.seq for r in R.fasta(spark, str(tmp_path / "out/contigs")).collect()) == ["ACCTGA", "GACCTG"]
+    assert spark.read.json(str(tmp_path / "out/figures")).first().n_walk == 2
+    assert [(r.n_nodes, r.n_chosen, r.n_messages) for r in spark.read.json(str(tmp_path / "out/rounds")).orderBy("round").collect()] == [(7, 3, 3), (4, 2, 3)]
+
+
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    class Session:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        tables.shared_dir(Session)
+
+
 def test_empty_input(spark):
     none = frame(spark, [])
     assert kmers.counts(none, 4).count() == 0
@@ -229,10 +320,10 @@ def test_entry_and_twins():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(queries.QUERIES) - set(oracle.SQL) == {"assembly_compacted"}
+    assert set(queries.QUERIES) == set(oracle.SQL)
 
 
-@pytest.mark.parametrize("name", ["read_stats", "kmer_totals", "abundance_cutoff", "node_extensions", "wires", "transfers_round1", "compact_round1", "walk_contigs", "minimizer_load"])
+@pytest.mark.parametrize("name", ["read_stats", "kmer_totals", "abundance_cutoff", "node_extensions", "wires", "transfers_round1", "compact_round1", "walk_contigs", "minimizer_load", "assembly_compacted", "compacted_graph", "round_figures", "assembly_stats", "node_dump", "fasta_reads", "delimited_records", "contig_records", "log_figures", "log_runs", "lmer_functions", "lenient_bases"])
 def test_twin(spark, name):
     con = duckdb.connect()
     for p in glob.glob(f"{SF}/*.parquet"):
