@@ -6,14 +6,15 @@ Words are maximal runs of code points outside ``[\\x20\\x09-\\x0D]``, as the con
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
-import tempfile
 import time
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import tables
+
 #: The white space of the contracts.
 BLANKS = " \t\n\x0b\f\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -31,15 +32,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset, as in tests, one of our own."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="strandwork-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
 def few_files(df: DataFrame) -> DataFrame:
     """df in at most an eighth as many partitions as a shuffle has, or FILES for each core of the cluster if that is
     more: what is written from many small ones costs more to create, and later to open, than to read."""
@@ -53,7 +45,7 @@ def cut(df: DataFrame, free: bool = False) -> DataFrame:
     let Spark delete the shuffle files that led there; it does so once its driver's memory has been collected,
     which takes two rounds and would else happen at some later time."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strandwork/{uuid.uuid4().hex}"
+    path = tables.new_path(spark)
     few_files(df).write.option("compression", "zstd").parquet(path)
     _written[path] = spark
     for _ in range(2 * free):
@@ -66,15 +58,19 @@ def cut(df: DataFrame, free: bool = False) -> DataFrame:
 def release() -> None:
     """Delete the tables that cut() wrote. Frames built on them can't be read any more."""
     for path, spark in list(_written.items()):
-        try:
-            jvm = spark._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session has ended
-            pass
+        with contextlib.suppress(Exception):  # the session has ended
+            tables.delete(spark, path)
         _written.pop(path, None)
 
 
+def drop(*frames: DataFrame) -> None:
+    """Delete the tables of frames that cut() returned and nothing reads any more."""
+    for df in frames:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            tables.delete(df.sparkSession, path)
+            _written.pop(path, None)
+
+
 atexit.register(release)
 
 

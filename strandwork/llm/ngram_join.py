@@ -2,16 +2,22 @@
 
 A document is its set of NGRAM-word shingles (a text with fewer words: all of them as one). Each of TREES prefix
 tries holds signatures of up to DEPTH minima; documents that share a prefix are a group. Matching begins at whole
-signatures and shortens the prefix until a pair at the threshold is found in some tree with probability RECALL:
-1 - (1 - t ** depth) ** trees. At each depth only groups that still hold two classes are looked at.
-
-No step lists the pairs of a group. Documents with equal shingles are one node. In a group each node is verified
-against the group's first; what is linked is a class from then on. At the last depth, nodes of a group that are
-still in different classes are compared by sketches, first of 64 * WORDS bits, then, for nodes that have a partner
-after that, of 64 * WIDE bits: a pair at the threshold fails either with a probability under 1e-6. Those that pass
-are verified, too. So every link between different texts either is in the result or joins two texts of one class.
-Jaccard is computed from the texts' shingles (64-bit hashes), members of a first text in blocks of BLOCK, so a group
-of any size is spread over many tasks.
+signatures and shortens the prefix until a pair at the threshold shares SHARED tries with probability RECALL. At each
+depth only groups that still hold two classes are looked at: documents whose class is settled by a long prefix aren't
+matched by shorter ones.
+
+No step lists or compares all pairs of a group. Documents with equal shingles are one node. In a group each node is
+verified against the group's first; what is linked is a class from then on. What is left are nodes that share SHARED
+groups with nodes of other classes. Of their shingles only those that two classes have (mixed ones) can be part of such a
+link. With all shingles ordered alike, those that aren't mixed first, then the rarer before the more frequent, two sets
+as similar as the threshold have their first common shingle within a short prefix of either, and enough of both behind
+it; so nodes meet by single shingles of their prefixes, and only pairs that can still reach the threshold are handed on
+to be verified. Pages that are one template with a word or two of their own, and so are a little less similar than that,
+have their own shingles first and don't meet at all.
+
+Every link between different texts, but for 1 - RECALL of those right at the threshold, either is in the result or joins
+two texts of one class. Jaccard is computed from the texts' shingles (64-bit hashes), members of a first text in blocks
+of BLOCK, so a group of any size is spread over many tasks.
 
 Links are counted after that, when classes are known: a link never leaves a class, so all pairs inside each class are
 verified. A class is dealt in blocks of about PAIRED texts, and each two blocks meet in a task that hands on a number
@@ -20,19 +26,21 @@ for each text, not the pairs. The work grows with the square of a class, and so
 Result: a row for each document: class_id, the least doc_id of its class; n_links, the different texts that are
 similar to its own; n_copies, the documents with equal shingles.
 
-Cases: texts without a word, or null, are linked to nothing, each is its own class; a null doc_id comes after all
-others; rows that repeat are copies; an empty table gives an empty result.
+Cases: texts without a word, or null, are linked to nothing, each is its own class; a very long text is one set of
+shingles, in one task; a null doc_id comes after all others, rows with equal ids are told apart by 64 bits of their
+texts' hash; rows that repeat are copies; of equally small ids in a class the first by that hash stands for it; an empty
+table gives an empty result; of other columns, whatever their names, the query reads nothing and one_of_each() hands all
+on.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -44,13 +52,9 @@ THRESHOLD = 0.8
 TREES = 24
 DEPTH = 6
 STEP = 2
-RECALL = 0.99999
-#: Words of the first sketch, 32 minima of two bits in each: at a Jaccard of 0.8 26 +- 5.8 of 256 bits differ.
-WORDS = 4
-#: Words of the wide one, a bit from each of 64 * WIDE minima: at a Jaccard of 0.8 410 +- 19 of 4096 differ.
-WIDE = 64
-#: Standard deviations over the mean, up to which bits of a pair at the threshold may differ.
-DEVIATIONS = 5.6
+#: Tries in which a pair has to share a prefix, and with what probability one at the threshold does.
+SHARED = 2
+RECALL = 0.9999
 BLOCK = 256
 #: Texts of a block in which a class is dealt to count its links; it is smaller if its texts have more than SHINGLES.
 PAIRED = 128
@@ -60,23 +64,20 @@ COLUMNS = 4096
 _LAST = (1 << 63) - 1
 
 
-def depths(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, step: int = STEP, recall: float = RECALL) -> list[int]:
+def recall(threshold: float, depth: int, trees: int = TREES) -> float:
+    """How likely a pair at the threshold shares prefixes of this depth in SHARED tries or more."""
+    p = threshold**depth
+    return 1 - sum(math.comb(trees, i) * p**i * (1 - p) ** (trees - i) for i in range(SHARED))
+
+
+def depths(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, step: int = STEP, least: float = RECALL) -> list[int]:
     """From the whole signature to the first prefix that finds enough."""
     out = [depth]
-    while 1 - (1 - threshold ** out[-1]) ** trees < recall and out[-1] > 1:
+    while recall(threshold, out[-1], trees) < least and out[-1] > 1:
         out.append(max(1, out[-1] - step))
     return out
 
 
-def may_differ(threshold: float = THRESHOLD) -> tuple[int, int]:
-    """Of the first sketch's bits, and of the wide one's, how many may differ in a pair at the threshold. A minimum is
-    another with a probability of 1 - threshold, and each of its bits then differs with one of a half."""
-    other = 1 - threshold
-    first = 32 * WORDS * other + DEVIATIONS * math.sqrt(32 * WORDS * (1.5 * other - other**2))
-    wide = 64 * WIDE * other / 2 + DEVIATIONS * math.sqrt(64 * WIDE * other / 2 * (1 - other / 2))
-    return math.ceil(first), math.ceil(wide)
-
-
 def shingles(w: K.Words, ngram: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles of the documents, one after the other, and where each document's begin (with an end)."""
     g = K.grams(w.hash, ngram)
@@ -95,7 +96,7 @@ def shingles(w: K.Words, ngram: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signatures(ngram: int, trees: int, depth: int, used: list[int]):
-    n = max(trees * depth, 32 * WORDS)
+    n = trees * depth
     a = (K.mix(np.arange(1, n + 1, dtype=K.U)) >> K.U(32)).astype(np.uint32) | np.uint32(1)
     b = K.mix(np.arange(n + 1, 2 * n + 1, dtype=K.U)).astype(np.uint32)
 
@@ -119,12 +120,10 @@ def _signatures(ngram: int, trees: int, depth: int, used: list[int]):
                         h = K.mix(h ^ least[t * depth + d].astype(K.U))
                         if d + 1 in used:
                             keys.append(h.view(np.int64))
-                bits = K.mix(least[: 32 * WORDS].astype(K.U)) & K.U(3)
-                words = [np.bitwise_or.reduce([bits[32 * j + i] << K.U(2 * i) for i in range(32)]).view(np.int64) for j in range(WORDS)]
                 keys_list = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(keys, 1).ravel()), len(keys)).cast(pa.list_(pa.int64()))
                 yield pa.record_batch(
-                    [batch["doc"].take(pa.array(at + has)), batch["tk"].take(pa.array(at + has)), pa.array(node.view(np.int64)), keys_list, *map(pa.array, words), pa.array(np.diff(first)[has].astype(np.int64))],
-                    names=["doc", "tk", "node", "keys", *[f"w{j}" for j in range(WORDS)], "size"],
+                    [batch["doc"].take(pa.array(at + has)), batch["tk"].take(pa.array(at + has)), pa.array(node.view(np.int64)), keys_list, pa.array(np.diff(first)[has].astype(np.int64))],
+                    names=["doc", "tk", "node", "keys", "size"],
                 )
         K.trim()
 
@@ -168,38 +167,45 @@ def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, ngram: int, th
     asked = asked.unionByName(asked.select("first", "block", F.col("first").alias("node"), F.lit(0).alias("role")).distinct())
     texts = asked.join(nodes.select("node", "doc", "tk"), "node").join(rows, ["doc", "tk"]).select("first", "block", "role", "node", "text")
     spread = texts.repartition(F.col("first"), F.col("block")).sortWithinPartitions("first", "block", "role")
-    return C.cut(spread.mapInArrow(_jaccard(ngram, threshold), "a long, b long").distinct(), free=True)
-
+    found = C.cut(spread.mapInArrow(_jaccard(ngram, threshold), "a long, b long").distinct(), free=True)
+    C.drop(pairs)
+    return found
 
-def _wide(ngram: int):
-    n = 64 * WIDE
-    a = (K.mix(np.arange(1 << 20, (1 << 20) + n, dtype=K.U)) >> K.U(32)).astype(np.uint32) | np.uint32(1)
-    b = K.mix(np.arange(1 << 21, (1 << 21) + n, dtype=K.U)).astype(np.uint32)
 
+def _sets(ngram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, w in K.batches_of(batch["text"]):
-                g, first = shingles(w, ngram)  # every node has some
-                low = (g >> K.U(32)).astype(np.uint32)
-                bits = np.zeros((to - at, WIDE), K.U)
-                for i in range(n):
-                    least = np.minimum.reduceat(low * a[i] + b[i], first[:-1])
-                    bits[:, i // 64] |= (K.mix(least) & K.U(1)) << K.U(i % 64)
-                yield pa.record_batch([batch["node"].slice(at, to - at), *[pa.array(bits[:, j].view(np.int64)) for j in range(WIDE)]], names=["node", *[f"x{j}" for j in range(WIDE)]])
+                g, first = shingles(w, ngram)
+                sets = [np.unique(g[a:b]).view(np.int64) for a, b in zip(first.tolist(), first[1:].tolist())]
+                edge = np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int32)
+                tokens = pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate(sets)))
+                yield pa.record_batch([batch["node"].slice(at, to - at), batch["comp"].slice(at, to - at), tokens], names=["node", "comp", "tokens"])
         K.trim()
 
     return run
 
 
-def wide_sketches(nodes: DataFrame, rows: DataFrame, ngram: int) -> DataFrame:
-    """(node, x0, x1, ...) of these nodes."""
-    texts = nodes.select("node", "doc", "tk").join(rows, ["doc", "tk"]).select("node", "text").dropDuplicates(["node"])
-    return C.cut(texts.mapInArrow(_wide(ngram), "node long, " + ", ".join(f"x{j} long" for j in range(WIDE))), free=True)
-
-
-def _differ(columns: list[str]) -> Column:
-    """How many bits of these columns differ from those of the same names after an underscore."""
-    return reduce(lambda x, y: x + y, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in columns])
+def crossing(open_nodes: DataFrame, rows: DataFrame, ngram: int, threshold: float) -> DataFrame:
+    """(a, b): a table of pairs of these nodes (node, doc, tk, comp) of different classes that may be similar, by an exact
+    bound."""
+    texts = open_nodes.select("node", "comp", "doc", "tk").join(rows, ["doc", "tk"]).dropDuplicates(["node"]).select("node", "comp", "text")
+    sets = C.cut(texts.mapInArrow(_sets(ngram), "node long, comp long, tokens array<long>"))
+    each = sets.select("node", "comp", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    mixed = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low < _high").select("token", "n")
+    own = Window.partitionBy("node")
+    most = lambda part: F.ceil(F.col("size") * F.lit(part) - 1e-9)
+    held = each.join(mixed, "token").withColumn("_mixed", F.count(F.lit(1)).over(own)).where(F.col("_mixed") >= most(threshold))
+    placed = held.withColumn("pos", F.col("size") - F.col("_mixed") + F.row_number().over(own.orderBy("n", "token")))
+    placed = C.cut(placed.where(F.col("pos") <= F.col("size") - most(threshold) + 1).select("node", "comp", "size", "token", "pos"))
+    short = placed.where(F.col("pos") <= F.col("size") - most(2 * threshold / (1 + threshold)) + 1).select(F.col("token").alias("_token"), *[F.col(c).alias(f"_{c}") for c in ("node", "comp", "size", "pos")])
+    smaller = (F.col("_size") < F.col("size")) | (F.col("_size") == F.col("size")) & (F.col("_node") < F.col("node"))
+    needed = F.ceil((F.col("size") + F.col("_size")) * F.lit(threshold / (1 + threshold)) - 1e-9)
+    reach = F.least(F.col("size") - F.col("pos"), F.col("_size") - F.col("_pos")) + 1
+    near = (F.col("token") == F.col("_token")) & (F.col("comp") != F.col("_comp")) & smaller & (F.col("_size") >= F.col("size") * F.lit(threshold) - 1e-9) & (reach >= needed)
+    pairs = C.cut(placed.join(short, near).select(F.col("node").alias("a"), F.col("_node").alias("b")).distinct(), free=True)
+    C.drop(sets, placed)
+    return pairs
 
 
 def _with_classes(nodes: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -220,35 +226,27 @@ def links_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ngram:
     C.small_batches(docs.sparkSession)
     rows = _documents(docs, text, doc_id)
     used = depths(threshold)
-    most, most_wide = may_differ(threshold)
-    words = [f"w{j}" for j in range(WORDS)]
-    schema = "doc long, tk long, node long, keys array<long>, " + ", ".join(f"{c} long" for c in words) + ", size long"
-    signed = C.cut(rows.mapInArrow(_signatures(ngram, TREES, DEPTH, used), schema))
-    first = F.min(F.struct("doc", "tk", "keys", *words, "size")).alias("s")
+    signed = C.cut(rows.mapInArrow(_signatures(ngram, TREES, DEPTH, used), "doc long, tk long, node long, keys array<long>, size long"))
+    first = F.min(F.struct("doc", "tk", "keys", "size")).alias("s")
     nodes = C.cut(signed.groupBy("node").agg(F.count(F.lit(1)).alias("n_copies"), first).select("node", "n_copies", "s.*"))
     per_tree = sorted(used)
     links: DataFrame | None = None
     for k in used:
         classed = C.cut(_with_classes(nodes, links).drop("keys").join(nodes.select("node", _keys(k, per_tree).alias("keys")), "node"))
-        members = classed.select("node", "doc", "comp", *words, F.explode("keys").alias("key"))
+        members = classed.select("node", "doc", "comp", F.explode("keys").alias("key"))
         groups = _open_groups(members)
         pairs = members.join(groups, "key").where(F.col("comp") != F.col("first.comp")).select(F.col("first.node").alias("a"), F.col("node").alias("b"), "n")
         found = verified(pairs, nodes, rows, ngram, threshold)
         links = found if links is None else C.cut(links.unionByName(found))
+        C.drop(classed)
     classed = C.cut(_with_classes(nodes, links).drop("keys").join(nodes.select("node", _keys(used[-1], per_tree).alias("keys")), "node"))
-    members = classed.select("node", "comp", *words, F.explode("keys").alias("key"))
-    members = C.cut(members.join(_open_groups(members.withColumn("doc", F.lit(0))).drop("first"), "key"))
-    also = lambda columns: members.select(F.col("key").alias("_key"), F.col("node").alias("_node"), F.col("comp").alias("_comp"), *[F.col(c).alias(f"_{c}") for c in columns])
-    near = (F.col("key") == F.col("_key")) & (_differ(words) <= most)
-    some = members.join(also(words), near & (F.col("comp") != F.col("_comp")), "left_semi").select("node").distinct()
-    sketches = wide_sketches(nodes.join(some, "node", "left_semi"), rows, ngram)
-    members = C.cut(members.join(sketches, "node"))
-    wide = [f"x{j}" for j in range(WIDE)]
-    nearer = (F.col("key") == F.col("_key")) & (F.col("comp") < F.col("_comp")) & (_differ(words) <= most) & (_differ(wide) <= most_wide)
-    cross = members.join(also(words + wide), nearer)
-    more = verified(cross.select(F.col("node").alias("a"), F.col("_node").alias("b"), "n"), nodes, rows, ngram, threshold)
+    members = classed.select("node", "doc", "comp", F.explode("keys").alias("key"))
+    shared = members.join(_open_groups(members).select("key"), "key").groupBy("node").agg(F.count(F.lit(1)).alias("_shared")).where(F.col("_shared") >= SHARED)
+    pairs = crossing(classed.join(shared, "node", "left_semi"), rows, ngram, threshold)
+    more = verified(pairs.join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a"), nodes, rows, ngram, threshold)
     links = C.cut(links.unionByName(more))
-    return signed.select("doc", "tk", "node"), C.cut(_with_classes(nodes.drop("keys", *words), links)), links
+    C.drop(classed, pairs)
+    return signed.select("doc", "tk", "node"), C.cut(_with_classes(nodes.drop("keys"), links)), links
 
 
 def _keys(depth: int, per_tree: list[int]) -> Column:
