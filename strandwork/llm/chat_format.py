@@ -1,7 +1,7 @@
 """Operator 5: chat formatting in budgeted windows.
 
-Turns of a conversation have token counts (words, and TURN_TOKENS for the template); their prefix sums, a window
-function over the conversation, choose spans of whole turns that fit a budget. A window holds the system turn, up
+Turns of a conversation have token counts (those of a tokenizer, and TURN_TOKENS for the template); their prefix sums, a
+window function over the conversation, choose spans of whole turns that fit a budget. A window holds the system turn, up
 to ``history`` tokens of the turns before its span, and the span. Loss is on the assistant texts of the span only,
 so each assistant text is a target once, whatever is repeated.
 
@@ -12,9 +12,10 @@ point, which reads it back exactly. In roles a line feed gets a backslash, too.
 Rows are dealt by conversation and sorted by turn; windows, and reading back, are streamed: what is held at once is
 one window, however long the conversation is. A turn larger than the budget is a window of its own, whole.
 
-Cases: a null text or role is empty; a null turn comes last; turns with equal numbers follow each other by role,
-then text; a null conv_id is a conversation; conversations without assistant turns have no loss; an empty table
-gives an empty result.
+Cases: a null text or role is empty; a very long text is one turn, and so one window; a null turn comes last; turns with
+equal numbers follow each other by role, then text, and equal rows are turns each; a null conv_id is a conversation;
+conversations without assistant turns have no loss; an empty table gives an empty result; other columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import bpe
 from . import common as C
+from . import kernels as K
 
 BUDGET = 1024
 HISTORY = 256
@@ -132,11 +135,22 @@ def _format(budget: int, history: int):
     return run
 
 
-def format_chats(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+def _counted(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [len(ids) // 4 + TURN_TOKENS for ids, _ in bpe.encode_texts(path, batch["text"])]
+            yield pa.record_batch([*batch.columns, pa.array(tokens, pa.int64())], names=[*batch.schema.names, "tokens"])
+        K.trim()
+
+    return run
+
+
+def format_chats(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY, path: str | None = None) -> DataFrame:
     """(conv_id, window, formatted, loss, repeated) of rows (conv_id, turn, role, text): loss is spans of code
-    points of formatted; repeated, how many turns at its head stand in earlier windows."""
-    r = rows.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", C.text_of("role").alias("role"), C.text_of("text").alias("text"))
-    r = r.withColumn("tokens", (F.size(C.words_of(F.col("text"))) + TURN_TOKENS).cast("long"))
+    points of formatted; repeated, how many turns at its head stand in earlier windows. path: of the tokenizer's file."""
+    C.small_batches(rows.sparkSession)
+    r = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), C.text_of("role").alias("role"), C.text_of("text").alias("text"))
+    r = r.mapInArrow(_counted(path or bpe.default_path()), "conv_id long, turn long, role string, text string, tokens long")
     order = [F.col("turn").asc_nulls_last(), "role", "text"]
     upto = F.sum("tokens").over(Window.partitionBy("conv_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     turns = r.withColumn("upto", upto).select("conv_id", "role", "text", "upto", "tokens")

@@ -6,12 +6,15 @@ languages that have it; the word's trigrams give each candidate a score; Viterbi
 words labels spans. Before that, documents in which no run of words can outweigh the penalty are told apart by
 running sums: for these the best path is the language with the best sum, and no step by step pass is needed.
 
-The model is fitted on at most about SAMPLE documents that have a language, chosen by a hash of doc_id; counting is
-distributed, the counts (BUCKETS rows for each language) are what comes to the driver.
-
-Cases: null texts, and texts without a letter, are ``und`` with score 0; a text of one word is one span; words of
-scripts that no language has are open to all; equal texts get equal labels; an empty table, or one without a
-language, labels everything ``und``. Neither lang, source nor doc_id is an input of a prediction.
+The model is fitted on at most about SAMPLE documents that have a language, chosen by a hash of doc_id and text; counting
+is distributed, the counts (of a language and bucket that occur, so no more than the sample has bytes) are what comes to
+the driver.
+
+Cases: null texts, and texts without a letter, are ``und`` with score 0; a text of one word is one span, a very long one
+is scored whole; words of scripts that no language has are open to all; of languages with equal scores the first by name
+is taken; repeated rows and equal texts get equal labels; an empty table, or one without a language, labels everything
+``und``; a null doc_id is never held out; other columns, whatever their names, are not read. Neither lang, source nor
+doc_id is an input of a prediction.
 """
 
 from __future__ import annotations
@@ -153,7 +156,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
     rows = labelled.where(F.col(lang).isNotNull())
     n = rows.count()
     if n > sample:
-        rows = rows.where(F.call_function("shiftrightunsigned", F.xxhash64(F.lit("sample"), doc_id), F.lit(1)) < F.lit(int(0.95 * sample / n * (1 << 63))))
+        rows = rows.where(F.call_function("shiftrightunsigned", F.xxhash64(F.lit("sample"), F.col(doc_id), F.col(text)), F.lit(1)) < F.lit(int(0.95 * sample / n * (1 << 63))))
     some = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,8 +13,10 @@ Blocks are dealt by a hash of the document, so a source that holds most rows has
 Randomness is a hash of seed, level and pair: reruns agree.
 
 Cases: a null text, and one without words, has size 0 and takes part in nothing, so it has no copies; a null source is a source, the
-last one; a null doc_id is a value like others; rows equal in doc_id, text and source share one decision; an
-empty table gives an empty result. Sources are a small table (ranks and targets are computed in one task).
+last one; a null doc_id is a value like others; rows equal in doc_id, text and source share one decision; a very long
+text is a unit like others; ties of size in a block go by the hash; an empty table gives an empty result; mixed() hands on
+all columns, whatever their names, and mix() reads three. Sources are a small table (ranks and targets are computed in one
+task).
 """
 
 from __future__ import annotations
@@ -135,3 +137,27 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", doc_id: s
 def query(spark, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix(docs).select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def target_query(spark, sf_dir: str) -> DataFrame:
+    size = F.size(C.words_of(C.text_of("text"))).cast("long")
+    sizes = C.table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(size).alias("source_size"))
+    return targets(sizes).select("source", "n_docs", "source_size", F.round("target", 3).alias("target"))
+
+
+#: The level is looked for as the one at which the targets add up: between the two limits where it must lie, they grow in
+#: proportion.
+TARGET_SQL = r"""
+WITH s AS (
+  SELECT source, count(*) AS n_docs, sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::BIGINT AS source_size FROM documents GROUP BY source
+), r AS (
+  SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER]::DOUBLE AS w, 2.0 * source_size AS cap FROM s
+), steps AS (
+  SELECT l.level, (SELECT sum(least(cap, l.level * w)) FROM r) AS given, (SELECT coalesce(sum(w) FILTER (WHERE cap > l.level * w), 0) FROM r) AS rate
+  FROM (SELECT DISTINCT cap / w AS level FROM r UNION SELECT 0.0) l
+), found AS (
+  SELECT max_by(level + CASE WHEN rate > 0 THEN ((SELECT 1.5 * sum(source_size) FROM r) - given) / rate ELSE 0 END, level) AS level
+  FROM steps WHERE given <= (SELECT 1.5 * sum(source_size) FROM r)
+)
+SELECT source, n_docs, source_size, round(least(cap, (SELECT level FROM found) * w), 3) AS target FROM r
+"""

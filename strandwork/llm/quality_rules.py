@@ -128,7 +128,11 @@ def query(spark, sf_dir: str) -> DataFrame:
     )
 
 
-ORACLE_SQL = r"""
+def ablation_query(spark, sf_dir: str) -> DataFrame:
+    return ablations(ledger(C.table(spark, sf_dir, "documents").select("text")))
+
+
+_LEDGER_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t,
     regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
@@ -156,5 +160,11 @@ WITH d AS (
     + CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN 16 ELSE 0 END
     + CASE WHEN 100 * n_capitals > 50 * word_chars THEN 32 ELSE 0 END)::INTEGER AS fail_bits FROM m
 )
-SELECT *, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept FROM f
 """
+ORACLE_SQL = _LEDGER_SQL + "SELECT *, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept FROM f"
+ABLATION_SQL = (
+    _LEDGER_SQL
+    + """SELECT rule, bit, count(*) FILTER (WHERE fail_bits & bit <> 0) AS n_failed, count(*) FILTER (WHERE fail_bits = bit) AS n_failed_alone,
+  count(*) FILTER (WHERE fail_bits IN (0, bit)) AS n_kept_without
+FROM f, (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('repeated_lines', 8), ('word_length', 16), ('capitals', 32)) AS r(rule, bit) GROUP BY rule, bit"""
+)

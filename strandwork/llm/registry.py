@@ -15,9 +15,14 @@ QUERIES = {
     "op8_bpe": bpe.query,
     "op9_token_counts": token_counts.query,
     "op10_substring_dedup": substring_dedup.query,
+    # What two of the operators also return.
+    "mixing_targets": mixing.target_query,
+    "quality_ablations": quality_rules.ablation_query,
 }
 ORACLES = {
     "op2_quality_rules": quality_rules.ORACLE_SQL,
     "op7_line_dedup": line_dedup.ORACLE_SQL,
     "op10_substring_dedup": substring_dedup.ORACLE_SQL,
+    "mixing_targets": mixing.TARGET_SQL,
+    "quality_ablations": quality_rules.ABLATION_SQL,
 }

@@ -13,8 +13,9 @@ its UTF-8 bytes.
 Each document is counted where it is read, without a shuffle; the words that a worker remembers are bounded (CACHE).
 
 Cases: a null text, or one without words, has no tokens; a text without white space is one word, of any length:
-the trie's path is then as long as it, and each node holds only the pieces that are still open; equal rows have
-equal counts.
+the trie's path is then as long as it, and each node holds only the pieces that are still open; of equally good
+segmentations the one of fewer tokens counts; equal rows have equal counts; an empty table gives an empty result; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
