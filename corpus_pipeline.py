@@ -1,7 +1,19 @@
 """From raw documents to token ids: quality rules, line dedup, near duplicates, mixing, BPE.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows it gets; all but the last return the columns of
-documents. n_chars follows the text.
+documents, and others that docs has, whatever their names. n_chars follows the text.
+
+Cases, of every stage: an empty table gives an empty one; a null doc_id, lang, source or n_chars is a value like others
+(a null source is the last source of the mix, a null doc_id comes after all others where documents are put in order); a
+null or empty text has no words. Of single stages:
+- quality: such texts go, for they have too few words; rows that repeat are judged one by one; texts of any length are
+  measured whole.
+- lines: a line is dropped from all documents or none, so there are no ties; rows equal in doc_id and text count as one
+  document and get equal texts. Copies in groups of ten or more lose their whole text.
+- near_duplicates: one document of each class stays, the least by doc_id, then by hash of the text; of rows equal in both
+  the least in all columns; of equal texts without a word one stays.
+- mixture: rows equal in doc_id, source and text are repeated alike; a text without words isn't taken.
+- tokens: a row for each row; a text without words has no ids and decodes to an empty one; a long one is encoded in parts.
 """
 
 from __future__ import annotations
@@ -61,7 +73,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs = given = common.table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = common.cut(stage(spark, docs, sf_dir), free=True)
+        before, docs = docs, common.cut(stage(spark, docs, sf_dir), free=True)
+        if before is not given:
+            common.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
