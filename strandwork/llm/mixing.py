@@ -142,7 +142,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 def target_query(spark, sf_dir: str) -> DataFrame:
     size = F.size(C.words_of(C.text_of("text"))).cast("long")
     sizes = C.table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(size).alias("source_size"))
-    return targets(sizes).select("source", "n_docs", "source_size", F.round("target", 3).alias("target"))
+    return targets(sizes).select("source", "n_docs", "source_size", (F.floor(F.col("target") * 1000 + F.lit(0.5000001)) / 1000.0).alias("target"))
 
 
 #: The level is looked for as the one at which the targets add up: between the two limits where it must lie, they grow in
@@ -159,5 +159,5 @@ WITH s AS (
   SELECT max_by(level + CASE WHEN rate > 0 THEN ((SELECT 1.5 * sum(source_size) FROM r) - given) / rate ELSE 0 END, level) AS level
   FROM steps WHERE given <= (SELECT 1.5 * sum(source_size) FROM r)
 )
-SELECT source, n_docs, source_size, round(least(cap, (SELECT level FROM found) * w), 3) AS target FROM r
+SELECT source, n_docs, source_size, floor(least(cap, (SELECT level FROM found) * w) * 1000 + 0.5000001) / 1000.0 AS target FROM r
 """
