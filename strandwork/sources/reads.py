@@ -19,7 +19,7 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
     which are joined; a '>' inside a line is part of it. read_id is a number of the record, unique within the result but
     not without gaps, and the same while files and their splits are."""
     r = records(spark, path, "\n>").where(F.length(F.trim("record")) > 0)
-    lines = F.split(F.regexp_replace("record", "^>", ""), "\r?\n")
+    lines = F.split(F.regexp_replace("record", "^>|\r$", ""), "\r?\n")
     return r.select(F.monotonically_increasing_id().alias("read_id"), lines[0].alias("header"), F.array_join(F.slice(lines, 2, F.size(lines)), "").alias("seq"))
 
 

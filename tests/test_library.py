@@ -256,7 +256,7 @@ def test_hub_is_wired_in_one_pass(spark):
     rng = random.Random(4)
     rows = [("n", side, f"{side}{i}", False, 1, v, i) for side in "PS" for i, v in enumerate([3, 7] * 200 if side == "P" else [rng.randrange(1, 5) for _ in range(400)] + [3000])]
     ext = spark.createDataFrame(rows, "node string, side string, ext string, terminal boolean, cnt long, visit long, ext_id int")
-    order = lambda side: sorted((r for r in rows if r[1] == side), key=lambda r: (-r[5], r[2]))
+    order = lambda side: sorted((r for r in rows if r[1] == side), key=lambda r: (-r[5], len(r[2]), r[2]))
     spans = lambda side: [(r[6], sum(x[5] for x in order(side)[:i]), sum(x[5] for x in order(side)[: i + 1])) for i, r in enumerate(order(side))]
     want = {(p, s, max(a, c) - a, max(a, c) - c, min(b, d) - max(a, c)) for p, a, b in spans("P") for s, c, d in spans("S") if max(a, c) < min(b, d)}
     got = wiring.wires(ext)
