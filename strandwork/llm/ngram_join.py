@@ -56,6 +56,8 @@ STEP = 2
 SHARED = 2
 RECALL = 0.9999
 BLOCK = 256
+#: Shingles before one in a prefix that are looked at to hand a pair on once.
+SEEN = 64
 #: Texts of a block in which a class is dealt to count its links; it is smaller if its texts have more than SHINGLES.
 PAIRED = 128
 SHINGLES = 1 << 21
@@ -197,12 +199,14 @@ def crossing(open_nodes: DataFrame, rows: DataFrame, ngram: int, threshold: floa
     most = lambda part: F.ceil(F.col("size") * F.lit(part) - 1e-9)
     held = each.join(mixed, "token").withColumn("_mixed", F.count(F.lit(1)).over(own)).where(F.col("_mixed") >= most(threshold))
     placed = held.withColumn("pos", F.col("size") - F.col("_mixed") + F.row_number().over(own.orderBy("n", "token")))
-    placed = C.cut(placed.where(F.col("pos") <= F.col("size") - most(threshold) + 1).select("node", "comp", "size", "token", "pos"))
-    short = placed.where(F.col("pos") <= F.col("size") - most(2 * threshold / (1 + threshold)) + 1).select(F.col("token").alias("_token"), *[F.col(c).alias(f"_{c}") for c in ("node", "comp", "size", "pos")])
+    placed = placed.where(F.col("pos") <= F.col("size") - most(threshold) + 1).select("node", "comp", "size", "token", "pos")
+    # A pair is handed on at its first common shingle; the bounds hold there if they hold at a later one.
+    placed = C.cut(placed.withColumn("before", F.collect_list("token").over(own.orderBy("pos").rowsBetween(-SEEN, -1))))
+    short = placed.where(F.col("pos") <= F.col("size") - most(2 * threshold / (1 + threshold)) + 1).select(F.col("token").alias("_token"), *[F.col(c).alias(f"_{c}") for c in ("node", "comp", "size", "pos", "before")])
     smaller = (F.col("_size") < F.col("size")) | (F.col("_size") == F.col("size")) & (F.col("_node") < F.col("node"))
     needed = F.ceil((F.col("size") + F.col("_size")) * F.lit(threshold / (1 + threshold)) - 1e-9)
     reach = F.least(F.col("size") - F.col("pos"), F.col("_size") - F.col("_pos")) + 1
-    near = (F.col("token") == F.col("_token")) & (F.col("comp") != F.col("_comp")) & smaller & (F.col("_size") >= F.col("size") * F.lit(threshold) - 1e-9) & (reach >= needed)
+    near = (F.col("token") == F.col("_token")) & (F.col("comp") != F.col("_comp")) & smaller & (F.col("_size") >= F.col("size") * F.lit(threshold) - 1e-9) & (reach >= needed) & ~F.arrays_overlap("before", "_before")
     pairs = C.cut(placed.join(short, near).select(F.col("node").alias("a"), F.col("_node").alias("b")).distinct(), free=True)
     C.drop(sets, placed)
     return pairs
