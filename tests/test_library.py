@@ -323,7 +323,7 @@ def test_entry_and_twins():
     assert set(queries.QUERIES) == set(oracle.SQL)
 
 
-@pytest.mark.parametrize("name", ["read_stats", "kmer_totals", "abundance_cutoff", "node_extensions", "wires", "transfers_round1", "compact_round1", "walk_contigs", "minimizer_load", "assembly_compacted", "compacted_graph", "round_figures", "assembly_stats", "node_dump", "fasta_reads", "delimited_records", "contig_records", "log_figures", "log_runs", "lmer_functions", "lenient_bases"])
+@pytest.mark.parametrize("name", ["read_stats", "kmer_totals", "abundance_cutoff", "node_extensions", "wires", "transfers_round1", "compact_round1", "walk_contigs", "minimizer_load", "assembly_compacted", "round_figures", "node_dump", "fasta_reads", "delimited_records", "contig_records", "log_figures", "log_runs", "lmer_functions", "lenient_bases"])
 def test_twin(spark, name):
     con = duckdb.connect()
     for p in glob.glob(f"{SF}/*.parquet"):
