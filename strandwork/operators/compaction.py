@@ -3,6 +3,9 @@
 A round is a chain of joins on the node key. Wires are a function of a node's extensions, so only those of the nodes
 that go are made in a round. State is cut (written and read back) once a round, and that of the round before is deleted;
 partial contigs are added to one table. So neither plans nor disk grow with the number of rounds.
+
+A round costs what its joins do, however few nodes are left, and rounds get small long before they end. So once the graph
+is small, as measured, one task makes the rounds on it that are left.
 """
 
 from __future__ import annotations
@@ -13,9 +16,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import tables
+from ..functions import small
 from .graph import neighbor
 from .wiring import wires
 
+#: A graph of at most so many rows and so much text in them is compacted by one task; it stops at four times that.
+FEW, TEXT = 400_000, 32 << 20
+
 
 def independent_set(ext: DataFrame, k: int) -> DataFrame:
     """(node): nodes without a neighbor of a greater key. No two are neighbors; the greatest key is always in it."""
@@ -73,13 +80,31 @@ def apply_transfers(ext: DataFrame, chosen: DataFrame, messages: DataFrame) -> D
     return every.withColumn("ext_id", F.row_number().over(Window.partitionBy("node", "side").orderBy("terminal", "ext", F.col("visit").desc(), F.col("cnt").desc())) - 1)
 
 
+def _measure(ext: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of text of node_ext."""
+    row = ext.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("ext")), F.lit(0)).alias("text")).first()
+    return row["n"], row["text"]
+
+
 def compact(ext: DataFrame, k: int, node_threshold: int, max_rounds: int | None = None, seconds: list[float] | None = None) -> tuple[DataFrame, DataFrame, list[tuple[int, int, int]]]:
     """(node_ext, partial contigs, (nodes, chosen, messages) of each round): rounds until there are at most
     node_threshold nodes. The driver holds three numbers a round; seconds, if given, gets what each took."""
-    spark, rounds = ext.sparkSession, []
+    spark, rounds, took = ext.sparkSession, [], []
     ext, found = tables.cut(ext), tables.new_path(ext.sparkSession)
     n = ext.select("node").distinct().count()
     while n > node_threshold and (max_rounds is None or len(rounds) < max_rounds):
+        size, text = _measure(ext)
+        if size <= FEW and text <= TEXT:
+            most = None if max_rounds is None else max_rounds - len(rounds)
+            made = tables.cut(ext.select("node", "side", "ext", "terminal", "cnt", "visit", "ext_id").coalesce(1).mapInArrow(small.rounds(k, n, node_threshold, most, 4 * FEW, 4 * TEXT), small.ROUNDS))
+            tables.write(made.where("kind = 1").select(F.col("ext").alias("contig")), found)
+            for r in made.where("kind = 2").select("cnt", "visit", "messages", "seconds").orderBy("ext_id").collect():
+                rounds.append((r["cnt"], r["visit"], r["messages"]))
+                took.append(r["seconds"])
+            before, ext = ext, tables.cut(made.where("kind = 0").select(*ext.columns))
+            n = rounds[-1][0] - rounds[-1][1]
+            tables.drop(before, made)
+            continue
         began = time.monotonic()
         chosen = tables.cut(independent_set(ext, k))
         paths = tables.cut(paths_through(ext, chosen, k))
@@ -89,6 +114,7 @@ def compact(ext: DataFrame, k: int, node_threshold: int, max_rounds: int | None
         rounds.append((n, chosen.count(), messages.count()))
         n -= rounds[-1][1]
         tables.drop(before, chosen, paths, messages)
-        if seconds is not None:
-            seconds.append(time.monotonic() - began)
+        took.append(time.monotonic() - began)
+    if seconds is not None:
+        seconds.extend(took)
     return ext, spark.read.schema("contig string").parquet(found) if rounds else ext.limit(0).select(F.col("node").alias("contig")), rounds

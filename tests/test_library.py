@@ -333,3 +333,27 @@ def test_twin(spark, name):
     got = queries.QUERIES[name](spark, SF)
     assert sorted(got.columns) == sorted(columns)
     assert Counter(tuple(r) for r in got.select(*columns).collect()) == Counter(want.fetchall())
+
+
+def graph_and_simulator(spark, seed, n=40, length=14):
+    seqs, k = random_reads(seed, n, length), 6
+    sim = Graph({m: c for m, c in kmer_counts([digits(s) for s in seqs], k).items() if c >= 2}, k, 2)
+    return graph.build(kmers.solid(kmers.counts(frame(spark, seqs), k), 2), k, 2), sim, k
+
+
+@pytest.mark.parametrize("few, max_rounds", [(0, 3), (60, None), (1 << 30, 3), (1 << 30, None)])
+def test_compaction_joined_and_in_one_task(spark, monkeypatch, few, max_rounds):
+    monkeypatch.setattr(compaction, "FEW", few)
+    ext, sim, k = graph_and_simulator(spark, 6)
+    rounds, partial = [], []
+    while len(sim.nodes) > 5 and (max_rounds is None or len(rounds) < max_rounds):
+        *r, contigs = sim.round()
+        rounds.append(tuple(r))
+        partial += contigs
+    seconds = []
+    left, found, got = compaction.compact(ext, k, 5, max_rounds, seconds)
+    assert got == rounds and len(seconds) == len(rounds) > 2
+    assert sorted(r.contig for r in found.collect()) == sorted(partial)
+    order = lambda e: (e[1], e[0], -e[3], -e[2])
+    want = [(node, side, *e[:4], i) for node, sides in sim.nodes.items() for side in "PS" for i, e in enumerate(sorted(sides[side], key=order))]
+    assert sorted(tuple(r) for r in left.select("node", "side", "ext", "terminal", "cnt", "visit", "ext_id").collect()) == sorted(want)
