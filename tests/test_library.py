@@ -341,6 +341,39 @@ def graph_and_simulator(spark, seed, n=40, length=14):
     return graph.build(kmers.solid(kmers.counts(frame(spark, seqs), k), 2), k, 2), sim, k
 
 
+@pytest.mark.parametrize("few, broadcast, mode", [(0, 0, "reference"), (0, 1 << 30, "full"), (1 << 30, 0, "reference"), (1 << 30, 0, "full")])
+def test_walks_joined_and_at_once(spark, monkeypatch, few, broadcast, mode):
+    monkeypatch.setattr(walk, "FEW", few)
+    monkeypatch.setattr(walk, "BROADCAST", broadcast)
+    ext, sim, k = graph_and_simulator(spark, 5)
+    assert sorted(r.contig for r in walk.walk(ext, k, mode).collect()) == sorted(sim.walks(mode))
+
+
+@pytest.mark.parametrize("few", [0, 1 << 30])
+def test_long_walks_take_few_jobs(spark, monkeypatch, few):
+    """A step for each base would be 150 jobs of eight steps."""
+    monkeypatch.setattr(walk, "FEW", few)
+    rng = random.Random(3)
+    text = "".join(rng.choice("ACTG") for _ in range(1200))
+    ext = tables.cut(graph.build(kmers.counts(frame(spark, [text]), 31), 31, 1))
+    tracker, group = spark.sparkContext.statusTracker(), f"long walk {few}"
+    spark.sparkContext.setJobGroup(group, "")
+    got = [r.contig for r in walk.walk(ext, 31).collect()]
+    spark.sparkContext.setJobGroup("", "")
+    assert got == [digits(text)]
+    assert len(tracker.getJobIdsForGroup(group)) < 100
+
+
+def test_edges_of_a_circle_stay(spark):
+    """Four edges that follow each other in a circle, none of which is first, and three in a row."""
+    ring = [(f"n{i}", 0, 0, 2, 0, str(i), False, f"n{(i + 1) % 4}", 0) for i in range(4)]
+    row = [("a", 0, 0, 2, 1, "1", False, "b", 0), ("b", 0, 1, 2, 3, "2", False, "c", 0), ("c", 0, 3, 3, 0, "3", True, None, None)]
+    schema = "node string, p_id int, start long, size long, off_s long, s_ext string, done boolean, next_node string, next_p int"
+    begins = spark.createDataFrame([("a", "", 0, 2)], "node string, ext string, ext_id int, visit long")
+    got = sorted(tuple(r) for r in walk.chained(tables.cut(spark.createDataFrame(ring + row, schema)), begins).collect())
+    assert got == sorted([*ring, ("a", 0, 0, 2, 0, "123", True, None, None)])
+
+
 @pytest.mark.parametrize("few, max_rounds", [(0, 3), (60, None), (1 << 30, 3), (1 << 30, None)])
 def test_compaction_joined_and_in_one_task(spark, monkeypatch, few, max_rounds):
     monkeypatch.setattr(compaction, "FEW", few)
