@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from ..tables import cut
 @dataclass
 class Assembly:
     """What an assembly made: counts and cutoff, the graph as built and as compacted, rounds and the seconds they took,
-    contigs as digits."""
+    partial contigs; and contigs as digits, which are walked when they are first asked for."""
 
     kmer_counts: DataFrame
     cutoff: int
@@ -24,7 +25,15 @@ class Assembly:
     compacted: DataFrame
     rounds: list[tuple[int, int, int]]
     seconds: list[float]
-    contigs: DataFrame
+    partial: DataFrame
+    config: AssemblyConfig
+
+    @cached_property
+    def contigs(self) -> DataFrame:
+        """(contig, len, source): partial contigs, and those of walks."""
+        walked = walk(self.compacted, self.config.k, self.config.walk_mode)
+        found = self.partial.withColumn("source", F.lit("partial")).unionByName(walked.withColumn("source", F.lit("walk")))
+        return found.select("contig", F.length("contig").alias("len"), "source")
 
     def stats(self) -> DataFrame:
         """One row of figures: k-mers, nodes before and after, rounds, contigs by where they come from."""
@@ -65,6 +74,4 @@ def assemble(reads: DataFrame, config: AssemblyConfig) -> Assembly:
     built = cut(graph.build(solid, config.k, config.coverage))
     seconds: list[float] = []
     compacted, partial, rounds = compaction.compact(built, config.k, config.node_threshold, seconds=seconds)
-    walked = walk(compacted, config.k, config.walk_mode)
-    contigs = partial.withColumn("source", F.lit("partial")).unionByName(walked.withColumn("source", F.lit("walk")))
-    return Assembly(found, least, built, compacted, rounds, seconds, contigs.select("contig", F.length("contig").alias("len"), "source"))
+    return Assembly(found, least, built, compacted, rounds, seconds, partial, config)

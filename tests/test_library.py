@@ -390,3 +390,11 @@ def test_compaction_joined_and_in_one_task(spark, monkeypatch, few, max_rounds):
     order = lambda e: (e[1], e[0], -e[3], -e[2])
     want = [(node, side, *e[:4], i) for node, sides in sim.nodes.items() for side in "PS" for i, e in enumerate(sorted(sides[side], key=order))]
     assert sorted(tuple(r) for r in left.select("node", "side", "ext", "terminal", "cnt", "visit", "ext_id").collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["round_figures"])
+def test_no_walk_unless_asked_for(spark, monkeypatch, name):
+    monkeypatch.setattr(assembly, "walk", lambda *a: pytest.fail("walked"))
+    monkeypatch.setattr(queries, "reads", lambda s, d: frame(s, random_reads(2)))
+    monkeypatch.setattr(queries, "COMPACTED", AssemblyConfig(k=6, l=2, coverage=2, cutoff=2, node_threshold=6))
+    queries.QUERIES[name](spark, SF).collect()
