@@ -173,7 +173,7 @@ def _round_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _partial_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _compacted(spark, sf_dir).where("source = 'partial'").select("contig")
+    return _bases(assembly.assemble(reads(spark, sf_dir), COMPACTED).partial, "contig")
 
 
 def _compacted_graph(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -392,7 +392,7 @@ def test_compaction_joined_and_in_one_task(spark, monkeypatch, few, max_rounds):
     assert sorted(tuple(r) for r in left.select("node", "side", "ext", "terminal", "cnt", "visit", "ext_id").collect()) == sorted(want)
 
 
-@pytest.mark.parametrize("name", ["round_figures"])
+@pytest.mark.parametrize("name", ["round_figures", "partial_contigs"])
 def test_no_walk_unless_asked_for(spark, monkeypatch, name):
     monkeypatch.setattr(assembly, "walk", lambda *a: pytest.fail("walked"))
     monkeypatch.setattr(queries, "reads", lambda s, d: frame(s, random_reads(2)))
