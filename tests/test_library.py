@@ -398,3 +398,15 @@ def test_no_walk_unless_asked_for(spark, monkeypatch, name):
     monkeypatch.setattr(queries, "reads", lambda s, d: frame(s, random_reads(2)))
     monkeypatch.setattr(queries, "COMPACTED", AssemblyConfig(k=6, l=2, coverage=2, cutoff=2, node_threshold=6))
     queries.QUERIES[name](spark, SF).collect()
+
+
+@pytest.mark.parametrize("name", ["contig_records"])
+def test_long_contigs_take_few_jobs(spark, monkeypatch, name):
+    rng = random.Random(7)
+    text = "".join(rng.choice("ACTG") for _ in range(1200))
+    monkeypatch.setattr(queries, "reads", lambda s, d: frame(s, [text] * 3))
+    spark.sparkContext.setJobGroup(f"long {name}", "")
+    got = [tuple(r) for r in queries.QUERIES[name](spark, SF).collect()]
+    spark.sparkContext.setJobGroup("", "")
+    assert len(got) == 1 and (got[0][1] == text if name == "contig_records" else got == [(1200, 1)])
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"long {name}")) < 100
