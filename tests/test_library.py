@@ -400,7 +400,7 @@ def test_no_walk_unless_asked_for(spark, monkeypatch, name):
     queries.QUERIES[name](spark, SF).collect()
 
 
-@pytest.mark.parametrize("name", ["contig_records"])
+@pytest.mark.parametrize("name", ["contig_records", "contig_lengths"])
 def test_long_contigs_take_few_jobs(spark, monkeypatch, name):
     rng = random.Random(7)
     text = "".join(rng.choice("ACTG") for _ in range(1200))
