@@ -12,12 +12,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import encoding as E
-from ..functions.superkmers import super_kmers
+from ..functions.superkmers import COUNTED, PACKED, counted, packed_super_kmers, super_kmers
+from ..tables import cut, drop
 
 #: From this k on, counts() deals super-k-mers by their minimizers of MINIMIZER bases; shorter k-mers are so few that
 #: aggregating before the exchange leaves little to send.
 LEAST = 20
 MINIMIZER = 12
+#: Up to this k a window is a 64-bit integer.
+INTEGER = 32
 
 
 def windows(reads: DataFrame, k: int, on_invalid: str = "split", name: str = "kmer") -> DataFrame:
@@ -71,10 +74,10 @@ def _few(reads: DataFrame, k: int, on_invalid: str, name: str) -> DataFrame:
 
 
 def _by_minimizer(reads: DataFrame, k: int, on_invalid: str, name: str) -> DataFrame:
-    """counts() of longer k-mers. Super-k-mers meet by their bucket; grouping by (bucket, k-mer) asks for no other
+    """counts() of k-mers that are longer than an integer. Super-k-mers meet by their bucket; grouping by (bucket, k-mer) asks for no other
     exchange, for all of a bucket is in one partition."""
-    cut = _clean(reads, k, on_invalid).select("_seq").mapInArrow(super_kmers(k, MINIMIZER), "bucket long, seq string, n long")
-    dealt = cut.repartition(F.col("bucket")).withColumnRenamed("seq", "_seq")
+    made = _clean(reads, k, on_invalid).select("_seq").mapInArrow(super_kmers(k, MINIMIZER), "bucket long, seq string, n long")
+    dealt = made.repartition(F.col("bucket")).withColumnRenamed("seq", "_seq")
     if k % 2:
         placed = dealt.select("bucket", "n", F.col("_seq").cast("binary").alias("_b"), F.explode(F.sequence(F.lit(0), F.length("_seq") - k)).alias("_pos"))
         out = placed.select("bucket", "n", F.substring("_b", F.col("_pos") + 1, F.lit(k)).alias("packed"))
@@ -84,10 +87,19 @@ def _by_minimizer(reads: DataFrame, k: int, on_invalid: str, name: str) -> DataF
     return out.groupBy("bucket", "packed").agg(F.sum("n").alias("cnt")).select(text.alias(name), "cnt")
 
 
+def _as_integers(reads: DataFrame, k: int, on_invalid: str, least: int | None = 1, num_buckets: int = 0) -> DataFrame:
+    """COUNTED: k-mers, up to INTEGER bases, that occur least times or more, and the histogram of all; see counted()."""
+    made = _clean(reads, k, on_invalid).select("_seq").mapInArrow(packed_super_kmers(k, MINIMIZER), PACKED)
+    return made.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(counted(k, least, num_buckets), COUNTED)
+
+
 def counts(reads: DataFrame, k: int, on_invalid: str = "split", name: str = "kmer") -> DataFrame:
-    """(kmer, cnt): exact counts. K-mers are packed, two bases to a byte (for an even k), while they are aggregated."""
+    """(kmer, cnt): exact counts. K-mers are packed while they are aggregated: two bases to a byte (for an even k), or, where
+    super-k-mers are sent, up to 32 bases as an integer."""
     if k < LEAST or reads.isStreaming:
         return _few(spread(reads), k, on_invalid, name)
+    if k <= INTEGER:
+        return _as_integers(spread(reads), k, on_invalid).select(F.col("kmer").alias(name), "cnt")
     return _by_minimizer(spread(reads), k, on_invalid, name)
 
 
@@ -98,9 +110,12 @@ def totals(kmer_counts: DataFrame) -> DataFrame:
 
 def histogram(kmer_counts: DataFrame, num_buckets: int = 21) -> DataFrame:
     """(bucket, n) for buckets 1 to num_buckets - 1: how many k-mers occur exactly so often; 0 for none."""
-    spark = kmer_counts.sparkSession
-    found = kmer_counts.where(F.col("cnt") < num_buckets).groupBy("cnt").agg(F.count(F.lit(1)).alias("n"))
-    buckets = spark.range(1, num_buckets).select(F.col("id").alias("bucket"))
+    return _buckets(kmer_counts.where(F.col("cnt") < num_buckets).groupBy("cnt").agg(F.count(F.lit(1)).alias("n")), num_buckets)
+
+
+def _buckets(found: DataFrame, num_buckets: int) -> DataFrame:
+    """(bucket, n) of what was found (cnt, n)."""
+    buckets = found.sparkSession.range(1, num_buckets).select(F.col("id").alias("bucket"))
     return buckets.join(F.broadcast(found), F.col("bucket") == F.col("cnt"), "left").select("bucket", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
@@ -114,6 +129,23 @@ def solid(kmer_counts: DataFrame, least: int) -> DataFrame:
     return kmer_counts.where(F.col("cnt") >= least)
 
 
+def solid_of(reads: DataFrame, k: int, least: int | None, num_buckets: int, on_invalid: str = "split") -> DataFrame:
+    """K-mers of reads that occur at least so often; where least is None, as often as the histogram's cutoff. Most k-mers
+    occur a few times only, and only the histogram needs them: those that are surely under the cutoff aren't written. Should
+    the cutoff be lower than a task took it to be, k-mers are counted once more, with it known."""
+    if k < LEAST or k > INTEGER:
+        found = cut(counts(reads, k, on_invalid))
+        return solid(found, cutoff(histogram(found, num_buckets)).first()["cutoff"] if least is None else least)
+    made = cut(_as_integers(spread(reads), k, on_invalid, least, 0 if least else num_buckets))
+    if least is None:
+        found = made.where("kmer IS NULL")
+        least = cutoff(_buckets(found.where("cnt > 0").groupBy("cnt").agg(F.sum("n").alias("n")), num_buckets)).first()["cutoff"]
+        if found.where((F.col("cnt") == 0) & (F.col("n") > least)).limit(1).count():
+            drop(made)
+            made = cut(_as_integers(spread(reads), k, on_invalid, least))
+    return solid(made.where("kmer IS NOT NULL").select("kmer", "cnt"), least)
+
+
 def minimizers(kmers: DataFrame, lmer_freq: DataFrame, k: int, l: int) -> DataFrame:  # noqa: E741
     """(kmer, minimizer): each k-mer's least frequent l-mer, of equal ones the leftmost. lmer_freq (lmer, freq) has at
     most 4 ** l rows: up to 16 MB at l = 8 or less it is broadcast."""

@@ -60,9 +60,8 @@ def cutoff_of(kmer_counts: DataFrame, config: AssemblyConfig) -> int:
 
 
 def solid_kmers(reads: DataFrame, config: AssemblyConfig) -> DataFrame:
-    """K-mers that reach the cutoff. Counts are cut: histogram and pruning both read them."""
-    found = cut(kmers.counts(reads, config.k, config.on_invalid))
-    return kmers.solid(found, cutoff_of(found, config))
+    """K-mers that reach the cutoff."""
+    return kmers.solid_of(reads, config.k, config.cutoff, config.num_buckets, config.on_invalid)
 
 
 def assemble(reads: DataFrame, config: AssemblyConfig) -> Assembly:

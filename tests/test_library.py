@@ -410,3 +410,47 @@ def test_long_contigs_take_few_jobs(spark, monkeypatch, name):
     spark.sparkContext.setJobGroup("", "")
     assert len(got) == 1 and (got[0][1] == text if name == "contig_records" else got == [(1200, 1)])
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"long {name}")) < 100
+
+
+@pytest.mark.parametrize("k", [20, 21, 32])
+def test_packed_super_kmers(monkeypatch, k):
+    """Counts of k-mers and their histogram, whatever is sorted at once and however rows come; reads of any length and letters."""
+    rng = random.Random(k)
+    seqs = ["".join(rng.choice("0123") for _ in range(n)) for n in (0, k - 1, k, 300, 900, 40, 40)] + ["0" * 500, "01" * 90, "01230123N" + "0123" * 20]
+    seqs += [seqs[4] * 2, *seqs[3:6] * 2]
+    want = Counter(w for s in seqs for i in range(len(s) - k + 1) if "N" not in (w := s[i : i + k]))
+    for most, chunk, size in ((1 << 20, 1 << 20, 1000), (50, 1 << 20, 3), (50, 64, 1000), (300, 200, 7)):
+        monkeypatch.setattr(superkmers, "MOST", most)
+        monkeypatch.setattr(superkmers, "CHUNK", chunk)
+        packed = pa.Table.from_batches(superkmers.packed_super_kmers(k, 12)(iter([pa.record_batch([pa.array([*seqs, None])], names=["_seq"])]))).sort_by("bucket").combine_chunks()
+        rows = [tuple(r.values()) for b in superkmers.counted(k, 2, 4)(iter(packed.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+        assert sorted((w, c) for w, c, _ in rows if w) == sorted((w, c) for w, c in want.items() if c > 1)
+        assert [(c, n) for w, c, n in rows if w is None] == [(0, 2), *((c, sum(x == c for x in want.values())) for c in (1, 2, 3))]
+
+
+@pytest.mark.parametrize("k, least, floor", [(31, None, None), (31, None, 9), (31, 3, None), (40, None, None)])
+def test_solid_kmers_of_reads(spark, monkeypatch, k, least, floor):
+    """As from all counts; also where the cutoff is lower than tasks took it to be."""
+    monkeypatch.setattr(kmers, "counted", lambda k, least, buckets: superkmers.counted(k, floor if least is None else least, buckets))
+    rng = random.Random(k)
+    seqs = [s for n in (1, 2, 4, 4, 6, 12) for s in ["".join(rng.choice("ACGT") for _ in range(60 + n))] * n]
+    found = kmers.counts(frame(spark, seqs), k)
+    want = kmers.solid(found, least or kmers.cutoff(kmers.histogram(found, 7)).first()["cutoff"])
+    got = sorted(tuple(r) for r in kmers.solid_of(frame(spark, seqs), k, least, 7).collect())
+    assert got == sorted(tuple(r) for r in want.collect()) and len({c for _, c in got}) > 1
+
+
+def test_contig_records_write_solid_kmers_only(spark, monkeypatch):
+    written_is_few(spark, monkeypatch, "contig_records")
+
+
+def written_is_few(spark, monkeypatch, name):
+    """50,000 k-mers that occur once are in no table."""
+    rng = random.Random(8)
+    text, *rest = ("".join(rng.choice("ACTG") for _ in range(n)) for n in [1200] + [200] * 300)
+    monkeypatch.setattr(queries, "reads", lambda s, d: frame(s, [text] * 3 + rest))
+    paths, write = [], tables.write
+    monkeypatch.setattr(tables, "write", lambda df, path: (write(df, path), paths.append(spark.read.parquet(path).count())))
+    got = [tuple(r) for r in queries.QUERIES[name](spark, SF).collect()]
+    assert len(got) == 1 and (got[0][1] == text if name == "contig_records" else got == [(1200, 1)])
+    assert paths and max(paths) < 10_000
