@@ -151,17 +151,18 @@ def walks(mode: str, most: int):
     walk of ten times that which hasn't ended: it goes in a circle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ways, begins = defaultdict(list), []
+        ways, begins = defaultdict(list), []  # an edge holds the list of those it leads to
         for node, p_id, start, size, off_s, s_ext, done, next_node, next_p in _rows(batches):
             if start is None:
-                begins.append((node, p_id, size, s_ext))
+                begins.append((ways[node, p_id], size, s_ext))
             else:
-                ways[node, p_id].append((start, size, off_s, s_ext, done, (next_node, next_p)))
-        yield from _batches(_walked(ways, begins), _CONTIG, 0)
+                ways[node, p_id].append((start, size, off_s, s_ext, done, () if done else ways[next_node, next_p]))
+        ways.clear()
+        yield from _batches(_walked(begins), _CONTIG, 0)
 
-    def _walked(ways: dict, begins: list) -> Iterator[tuple]:
-        for node, p_id, freq, text in begins:
-            path, lengths, stack = [], [], [(0, text, False, (node, p_id), 0, freq)]
+    def _walked(begins: list) -> Iterator[tuple]:
+        for to, freq, text in begins:
+            path, lengths, stack = [], [], [(0, text, False, to, 0, freq)]
             while stack:
                 depth, text, done, to, off, freq = stack.pop()
                 del path[depth:], lengths[depth:]
@@ -172,7 +173,7 @@ def walks(mode: str, most: int):
                 if done:
                     yield ("".join(path),)
                     continue
-                for start, size, off_s, s_ext, ends, next_to in ways.get(to, ()):
+                for start, size, off_s, s_ext, ends, next_to in to:
                     at = max(off, start)
                     n = min(off + freq, start + size) - at
                     if n > 0 and (mode == "full" or start <= off or 2 * (start - off) <= freq):

@@ -22,8 +22,8 @@ from .wiring import wires
 
 #: Longer contigs are an error.
 MOST = 500_000
-#: Edges of up to so many bytes are walked by one task.
-FEW = 32 << 20
+#: Edges of up to so many bytes are walked by one task, which holds two and a half times that.
+FEW = 128 << 20
 #: Of more, those of up to so many bytes are sent to all executors, larger tables are dealt by their node.
 BROADCAST = 32 << 20
 

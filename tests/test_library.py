@@ -2,6 +2,7 @@ import glob
 import os
 import random
 import sys
+import tracemalloc
 from collections import Counter
 
 import duckdb
@@ -13,7 +14,7 @@ from strandwork import __main__ as command
 from strandwork import tables
 from strandwork.config import AssemblyConfig
 from strandwork.functions import encoding as E
-from strandwork.functions import superkmers
+from strandwork.functions import small, superkmers
 from strandwork.operators import compaction, graph, kmers, sorting, walk, wiring
 from strandwork.plans import assembly, oracle, queries
 from strandwork.sources import logs
@@ -440,11 +441,8 @@ def test_solid_kmers_of_reads(spark, monkeypatch, k, least, floor):
     assert got == sorted(tuple(r) for r in want.collect()) and len({c for _, c in got}) > 1
 
 
-def test_contig_records_write_solid_kmers_only(spark, monkeypatch):
-    written_is_few(spark, monkeypatch, "contig_records")
-
-
-def written_is_few(spark, monkeypatch, name):
+@pytest.mark.parametrize("name", ["contig_records", "contig_lengths"])
+def test_only_solid_kmers_are_written(spark, monkeypatch, name):
     """50,000 k-mers that occur once are in no table."""
     rng = random.Random(8)
     text, *rest = ("".join(rng.choice("ACTG") for _ in range(n)) for n in [1200] + [200] * 300)
@@ -454,3 +452,21 @@ def written_is_few(spark, monkeypatch, name):
     got = [tuple(r) for r in queries.QUERIES[name](spark, SF).collect()]
     assert len(got) == 1 and (got[0][1] == text if name == "contig_records" else got == [(1200, 1)])
     assert paths and max(paths) < 10_000
+
+
+def test_memory_of_a_walk_at_once():
+    """Edges of FEW bytes take 400 MB at most."""
+    n, k = 20_000, 32
+    names = [f"{i:031d}" for i in range(n)]
+    edges = pa.table({
+        "node": names, "p_id": pa.array([1] * n, pa.int32()), "start": [0] * n, "size": [1] * n, "off_s": [0] * n, "s_ext": ["1"] * n, "done": [i == n - 1 for i in range(n)],
+        "next_node": [*names[1:], None], "next_p": pa.array([1] * (n - 1) + [None], pa.int32()),
+    })
+    begin = pa.table([pa.array([x], f.type) for x, f in zip((names[0], 1, None, 1, None, "0", False, None, None), edges.schema)], schema=edges.schema)
+    batches = [*edges.to_batches(max_chunksize=1000), *begin.to_batches()]
+    tracemalloc.start()
+    got = [c for b in small.walks("reference", 1 << 20)(iter(batches)) for c in b.column(0).to_pylist()]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == ["0" + "1" * n]
+    assert most / (n * (2 * k + 101)) * walk.FEW < 400e6
